@@ -105,6 +105,20 @@ class Ledger:
             st = st.where(F.col(pcols[0][0]).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
         return V.to_logical(st, schema)
 
+    def changes(self, table: str, commit: str) -> DataFrame:
+        """Change rows one commit wrote to ``table``: logical columns + change_op (I/U/D)."""
+        recs = self.hist.table_commits(table, commit)
+        rec = recs[-1]
+        if rec.commit_id != commit:
+            raise LedgerError(f"commit {commit} did not change {table}")
+        phys = V.physical_schema([r.schema for r in recs])
+        if rec.n_rows:
+            df = self.store.read_changes(table, [commit], phys.add("commit_id", "string"))
+        else:
+            df = self.spark.createDataFrame([], phys)
+        cols = [F.col(f.phys).cast(f.type).alias(f.name) for f in rec.schema.fields]
+        return df.select(*cols, F.col("_op").alias("change_op"))
+
     def describe(self, table: str, ref: str | None = "main", commit: str | None = None,
                  ts=None) -> DataFrame:
         """``DESCRIBE t``: one row per column (col_name, data_type, is_key)."""

@@ -12,6 +12,7 @@ Every row of ``orders`` enters the ledger: commits split it by ``k = o_orderkey
     c5      main  c4      2024-01-05  delete k=1
 
 Side branches for scenario queries (they never touch main or dev):
+    from_c1   from c1: no commits of its own
     dropped   from c1: drop sales.orders at 2024-01-02 12:00                 (x_drop)
     ddl       from c3: drop column o_orderpriority (x_dropcol); create sales.orders_empty (x_empty)
     multi     from c5: one commit appending customer as sales.customers and k=1 back (x_multi)
@@ -74,6 +75,8 @@ def _side_branches(led: Ledger, spark, sf_dir, orders: DataFrame) -> None:
     led.create_branch("dropped", commit="c1", ts=day(2))
     led.drop_table(ORDERS, ref="dropped", ts=day(2, 12), commit_id="x_drop")
 
+    led.create_branch("from_c1", commit="c1", ts=day(6))
+
     led.create_branch("ddl", commit="c3", ts=day(6))
     led.drop_column(ORDERS, "o_orderpriority", ref="ddl", ts=day(6), commit_id="x_dropcol")
     led.create_table("sales.orders_empty", orders.schema, keys=["o_orderkey"], ref="ddl",
@@ -121,3 +124,59 @@ def ledger_for(spark: SparkSession, sf_dir: str, variant: str = "full") -> Ledge
             led.expire(day(5), retain_last=2)
         _CACHE[key] = led
     return led
+
+
+# ---------------------------------------------------------------------------
+# Fixture M: metric samples over events
+# ---------------------------------------------------------------------------
+EVENTS = "metrics.events"
+
+
+def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series = event_type, time = ts, tie-break = event_id, gauge = value."""
+    return table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cumulative counter with a reset at each day start: row_number per
+    (event_type, day) ordered by (ts, event_id)."""
+    from tidemark.functions.ordered import bucketed_row_number
+    ev = table(spark, sf_dir, "events").select("event_type", "ts", "event_id")
+    ev = ev.withColumn("day", F.to_date("ts"))
+    rn = bucketed_row_number(ev, ["event_type", "day"], "ts", "event_id", name="counter")
+    return rn.select("event_type", "ts", "event_id", F.col("counter").cast("double").alias("counter"))
+
+
+def up_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up flag per user: 0 for an 'error' event, else 1."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("user_id", "ts", "event_id",
+                     F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("up"))
+
+
+def metrics_ledger_for(spark: SparkSession, sf_dir: str) -> Ledger:
+    """Ledger holding events as a day-partitioned table."""
+    from tidemark.session import scratch_path
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), "metrics")
+    led = _CACHE.get(key)
+    if led is None:
+        led = Ledger.open(spark, scratch_path(spark, "ledger-metrics"))
+        ev = table(spark, sf_dir, "events")
+        with led.transaction("main", ts=day(31), commit_id="m1") as tx:
+            tx.create_table(EVENTS, ev.schema, keys=["event_id"], partition_by=[("day", "ts")])
+            tx.append(EVENTS, ev)
+        _CACHE[key] = led
+    return led
+
+
+def event_drops_for(spark: SparkSession, sf_dir: str) -> str:
+    """Events as one Parquet folder per day, written oldest day first."""
+    from tidemark.session import scratch_path
+    from tidemark.streaming.ingest import drop_files_by_day
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), "drops")
+    path = _CACHE.get(key)
+    if path is None:
+        path = scratch_path(spark, "event-drops")
+        drop_files_by_day(table(spark, sf_dir, "events"), "ts", path)
+        _CACHE[key] = path
+    return path
