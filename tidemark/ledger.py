@@ -372,21 +372,23 @@ class Transaction:
         e["ops"].append("evolve")
 
     def append(self, table, rows: DataFrame, by_name=True, check_keys=True):
+        """Insert rows.  ``check_keys=True`` (keyed tables) rejects NULL, duplicate and
+        already-present keys, and lets reads skip the latest-per-key shuffle for this
+        commit.  ``check_keys=False`` makes the append an upsert: a later row for an
+        existing key replaces it."""
         e = self._entry(table)
         schema = e["schema"]
         rows = W.conform(rows, schema, by_name)
         keys = list(schema.keys)
-        if keys:
-            bad = rows.where(" OR ".join(f"`{k}` IS NULL" for k in keys)).limit(1).count()
-            if bad:
-                raise LedgerError(f"NULL identity in rows appended to {table}")
         if keys and check_keys:
-            dup = W.duplicate_key(rows, keys)
-            if dup is not None:
+            n, most, nulls = W.key_profile(rows, keys)
+            if nulls:
+                raise LedgerError(f"NULL identity in rows appended to {table}")
+            if most > 1:
+                dup = W.duplicate_key(rows, keys)
                 raise LedgerError(f"duplicate key {dup.asDict()} in rows appended to {table}")
-            if "create" not in e["ops"]:
+            if "create" not in e["ops"] and n > 0:
                 cur, _ = self._current(table)
-                n = rows.count()
                 new_keys = rows.select(*keys)
                 if n <= self.led.broadcast_rows:
                     new_keys = F.broadcast(new_keys)
@@ -394,6 +396,8 @@ class Transaction:
                 if clash:
                     raise LedgerError(f"key {clash[0].asDict()} already present in {table}")
         else:
+            if keys:
+                rows = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
             e["append_only"] = False
         e["frames"].append(W.append_changes(rows))
         e["ops"].append("append")
@@ -401,11 +405,11 @@ class Transaction:
     def merge(self, table, source: DataFrame, on, update_set=None, insert_values=None):
         target, schema = self._current(table)
         on = [on] if isinstance(on, str) else list(on)
-        if list(on) == list(schema.keys):
+        n, most, _ = W.key_profile(source, on)
+        if most > 1 and list(on) == list(schema.keys):
             dup = W.duplicate_key(source, on)
-            if dup is not None:
-                raise LedgerError(f"MERGE source has several rows for key {dup.asDict()}")
-        small = source.count() <= self.led.broadcast_rows
+            raise LedgerError(f"MERGE source has several rows for key {dup.asDict()}")
+        small = n <= self.led.broadcast_rows
         e = self._entry(table)
         e["frames"].append(W.merge_changes(target, source, schema, on, update_set, insert_values,
                                            broadcast_source=small))

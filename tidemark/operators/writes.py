@@ -44,6 +44,21 @@ def duplicate_key(df: DataFrame, keys: list[str]):
     return row[0] if row else None
 
 
+def key_profile(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
+    """(rows, max rows per key, rows with a NULL key part) in one job.  The per-key
+    count is a partial hash aggregate, so a hot key costs one row per task."""
+    any_null = None
+    for k in keys:
+        c = F.col(k).isNull()
+        any_null = c if any_null is None else any_null | c
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    r = per_key.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n"),
+                    F.coalesce(F.max("_c"), F.lit(0)).cast("long").alias("m"),
+                    F.coalesce(F.sum(F.when(any_null, F.col("_c"))), F.lit(0)).cast("long").alias("z")
+                    ).first()
+    return int(r["n"]), int(r["m"]), int(r["z"])
+
+
 def append_changes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_op", F.lit("I"))
 

@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import uuid
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,9 @@ def _struct_for(cls) -> T.StructType:
     return T.StructType([T.StructField(f.name, hints[f.type], True) for f in dataclasses.fields(cls)])
 
 
+_ARROW = {"str": pa.string(), "str | None": pa.string(), "int": pa.int64(), "bool": pa.bool_(),
+          "dt.datetime": pa.timestamp("us", tz="UTC"), "dt.datetime | None": pa.timestamp("us", tz="UTC")}
+
 LOGS = {"commits": CommitRec, "refs": RefRec, "bases": BaseRec, "expired": ExpireRec}
 META_COLS = ["_seq", "_op"]
 
@@ -59,28 +65,63 @@ class LedgerStore:
         return f"{self.table_path(table)}/bases/{commit_id}"
 
     # -- metadata logs ----------------------------------------------------
+    # The logs are a few bytes per commit, so the driver writes them directly
+    # (one file per event, published by rename) instead of launching a Spark job.
+    def _fs(self):
+        import pyarrow.fs as pafs
+        from tidemark.session import local_path
+        lp = local_path(self.root)
+        if lp is not None:
+            return pafs.LocalFileSystem(), lp
+        fs, path = pafs.FileSystem.from_uri(self.root)
+        return fs, path
+
     def append_log(self, kind: str, recs: list) -> None:
         if not recs:
             return
-        schema = _struct_for(LOGS[kind])
-        rows = [tuple(getattr(r, f.name) for f in dataclasses.fields(LOGS[kind])) for r in recs]
-        (self.spark.createDataFrame(rows, schema).coalesce(1)
-         .write.mode("append").parquet(self.log_path(kind)))
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        cls = LOGS[kind]
+        names = [f.name for f in dataclasses.fields(cls)]
+        schema = pa.schema([(f.name, _ARROW[f.type]) for f in dataclasses.fields(cls)])
+        cols = {n: [getattr(r, n) for r in recs] for n in names}
+        tbl = pa.table(cols, schema=schema)
+        fs, root = self._fs()
+        d = f"{root}/_log/{kind}"
+        fs.create_dir(d, recursive=True)
+        name = f"{recs[0].seq:012d}-{uuid.uuid4().hex[:8]}.parquet"
+        tmp = f"{d}/_tmp-{name}"          # '_' prefix: invisible to readers until renamed
+        with fs.open_output_stream(tmp) as out:
+            pq.write_table(tbl, out)
+        fs.move(tmp, f"{d}/{name}")
 
     def log_frame(self, kind: str) -> DataFrame:
         schema = _struct_for(LOGS[kind])
-        try:
-            return self.spark.read.schema(schema).parquet(self.log_path(kind))
-        except Exception as e:  # missing folder -> empty log
-            if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+        fs, root = self._fs()
+        import pyarrow.fs as pafs
+        if fs.get_file_info(f"{root}/_log/{kind}").type == pafs.FileType.NotFound:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.log_path(kind))
 
     def load_history(self) -> History:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
         h = History()
+        fs, root = self._fs()
         for kind, cls in LOGS.items():
-            rows = self.log_frame(kind).collect()   # metadata only: one row per commit / ref event
-            recs = [cls(**r.asDict()) for r in rows]
+            d = f"{root}/_log/{kind}"
+            recs = []
+            if fs.get_file_info(d).type != pafs.FileType.NotFound:
+                infos = fs.get_file_info(pafs.FileSelector(d))
+                for info in infos:
+                    if not info.base_name.endswith(".parquet") or info.base_name.startswith("_"):
+                        continue
+                    with fs.open_input_file(info.path) as f:
+                        for row in pq.read_table(f).to_pylist():
+                            for k, v in row.items():
+                                if isinstance(v, dt.datetime) and v.tzinfo is not None:
+                                    row[k] = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
+                            recs.append(cls(**row))
             recs.sort(key=lambda r: r.seq)
             setattr(h, kind, recs)
         return h
@@ -89,13 +130,16 @@ class LedgerStore:
     def write_changes(self, table: str, commit_id: str, df: DataFrame,
                       partition_cols: list[str]) -> dict[str, int]:
         """Write one commit's change rows; return row counts per op."""
+        from pyspark.sql import Observation
         path = self.commit_changes_path(table, commit_id)
-        w = df.write.mode("overwrite").option("compression", "snappy")
+        obs = Observation(f"changes-{commit_id}")
+        # counted while writing: no second pass over the data
+        observed = df.observe(obs, *[F.count_if(F.col("_op") == op).alias(op) for op in ("I", "U", "D")])
+        w = observed.write.mode("overwrite").option("compression", "snappy")
         if partition_cols:
             w = w.partitionBy(*partition_cols)
         w.parquet(path)
-        counts = (self.spark.read.parquet(path).groupBy("_op").count().collect())
-        return {r["_op"]: int(r["count"]) for r in counts}
+        return {k: int(v or 0) for k, v in obs.get.items()}
 
     def read_changes(self, table: str, commit_ids: list[str], schema: T.StructType) -> DataFrame:
         """Change rows of the given commits; only their partitions are listed."""
