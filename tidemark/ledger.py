@@ -329,13 +329,13 @@ class Transaction:
         self.tables[table] = e
         return e
 
-    def _current(self, table: str) -> tuple[DataFrame, TableSchema]:
+    def _current(self, table: str, only_keys: DataFrame | None = None) -> tuple[DataFrame, TableSchema]:
         e = self._entry(table)
         if e["frames"]:
             raise LedgerError("read-after-write inside one transaction is not supported; "
                               "use separate commits")
         st, _ = V.table_state(self.led.store, self.led.hist, table, self.parent,
-                              self.led.broadcast_rows)
+                              self.led.broadcast_rows, only_keys=only_keys)
         return V.to_logical(st, e["schema"]), e["schema"]
 
     def create_table(self, table, schema, keys=(), partition_by=()):
@@ -388,11 +388,14 @@ class Transaction:
                 dup = W.duplicate_key(rows, keys)
                 raise LedgerError(f"duplicate key {dup.asDict()} in rows appended to {table}")
             if "create" not in e["ops"] and n > 0:
-                cur, _ = self._current(table)
                 new_keys = rows.select(*keys)
                 if n <= self.led.broadcast_rows:
-                    new_keys = F.broadcast(new_keys)
-                clash = cur.select(*keys).join(new_keys, keys, "left_semi").limit(1).collect()
+                    # state restricted to the new keys: no shuffle of the table
+                    cur, _ = self._current(table, only_keys=new_keys)
+                    clash = cur.select(*keys).limit(1).collect()
+                else:
+                    cur, _ = self._current(table)
+                    clash = cur.select(*keys).join(new_keys, keys, "left_semi").limit(1).collect()
                 if clash:
                     raise LedgerError(f"key {clash[0].asDict()} already present in {table}")
         else:
@@ -403,13 +406,18 @@ class Transaction:
         e["ops"].append("append")
 
     def merge(self, table, source: DataFrame, on, update_set=None, insert_values=None):
-        target, schema = self._current(table)
         on = [on] if isinstance(on, str) else list(on)
+        schema = self._entry(table)["schema"]
         n, most, _ = W.key_profile(source, on)
         if most > 1 and list(on) == list(schema.keys):
             dup = W.duplicate_key(source, on)
             raise LedgerError(f"MERGE source has several rows for key {dup.asDict()}")
         small = n <= self.led.broadcast_rows
+        if small and list(on) == list(schema.keys):
+            # only target rows whose key is in the (small, counted) source can match
+            target, schema = self._current(table, only_keys=source.select(*on))
+        else:
+            target, schema = self._current(table)
         e = self._entry(table)
         e["frames"].append(W.merge_changes(target, source, schema, on, update_set, insert_values,
                                            broadcast_source=small))

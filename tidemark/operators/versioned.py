@@ -50,8 +50,15 @@ def physical_schema(schemas: list[TableSchema]) -> T.StructType:
 
 
 def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, TableSchema]:
-    """Physical rows (f<id> columns + partition columns) of ``table`` at ``cut``."""
+                broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                only_keys: DataFrame | None = None) -> tuple[DataFrame, TableSchema]:
+    """Physical rows (f<id> columns + partition columns) of ``table`` at ``cut``.
+
+    ``only_keys`` (logical key columns, at most ``broadcast_rows`` rows, checked by
+    the caller) restricts the state to those keys: every segment is semi-joined
+    with the broadcast key set *before* the latest-per-key window, so a MERGE with
+    a small source never shuffles the whole table.
+    """
     recs = hist.table_commits(table, cut)
     expired = hist.expired_ids()
     base = hist.base_for(table, cut, recs[0].seq)
@@ -64,6 +71,13 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
     cols = [f.name for f in phys.fields]
     read_schema = T.StructType(phys.fields + [T.StructField("commit_id", T.StringType())])
 
+    def restrict(df: DataFrame) -> DataFrame:
+        if only_keys is None:
+            return df
+        ks = only_keys.select(*[F.col(k).cast(schema.field(k).type).alias(schema.field(k).phys)
+                                for k in schema.keys]).distinct()
+        return df.join(F.broadcast(ks), keys, "left_semi")
+
     data = [r for r in tail if r.n_rows > 0]
     i = 0
     while i < len(data) and data[i].append_only:
@@ -72,9 +86,10 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
 
     parts = []
     if base is not None:
-        parts.append(store.read_base(base, phys).select(cols))
+        parts.append(restrict(store.read_base(base, phys).select(cols)))
     if prefix:
-        parts.append(store.read_changes(table, [r.commit_id for r in prefix], read_schema).select(cols))
+        parts.append(restrict(store.read_changes(table, [r.commit_id for r in prefix], read_schema)
+                              .select(cols)))
     stable = None
     for p in parts:
         stable = p if stable is None else stable.unionByName(p)
@@ -84,7 +99,7 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
             return store.spark.createDataFrame([], phys), schema
         return stable, schema
 
-    changes = store.read_changes(table, [r.commit_id for r in rest], read_schema).select(cols)
+    changes = restrict(store.read_changes(table, [r.commit_id for r in rest], read_schema).select(cols))
     latest = latest_per_key(changes, keys)
     live = latest.where(F.col("_op") != "D")
     if stable is None:
