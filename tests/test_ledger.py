@@ -236,3 +236,34 @@ def test_unkeyed_table(spark, root):
     assert led.read("demo.log").count() == 3
     led.delete("demo.log", "msg = 'a'")
     assert rows(led.read("demo.log"), "msg") == [("b",)]
+
+
+def test_namespaces_and_properties(spark, root):
+    led = sales_ledger(spark, root)
+    assert led.create_namespace("demo_db") is not None
+    assert led.create_namespace("demo_db") is None                 # IF NOT EXISTS
+    with pytest.raises(LedgerError):
+        led.create_namespace("demo_db", if_not_exists=False)
+    assert led.namespaces() == ["demo", "demo_db"]
+    assert led.tables("demo_db") == []
+    led.set_properties("demo.sales", {"compression": "gzip"})
+    assert led.properties("demo.sales") == {"compression": "gzip"}
+    led.update("demo.sales", {"product": "'Z'"}, where="id = 3")
+    cid = led.hist.head("main")
+    files = spark.read.parquet(led.store.commit_changes_path("demo.sales", cid)).inputFiles()
+    assert files and all(".gz" in f for f in files)
+    assert led.read("demo.sales").where("product = 'Z'").count() == 1
+
+
+def test_history_snapshots_and_diff(spark, root):
+    led = sales_ledger(spark, root)
+    led.update("demo.sales", {"product": "'Tablet'"}, where="id = 1", commit_id="u1")
+    led.delete("demo.sales", "id = 2", commit_id="d1")
+    h = [r.op for r in led.history("demo.sales").orderBy("seq").collect()]
+    assert h == ["create", "append", "update", "delete"]
+    s = {r.commit_id: (r.added_rows, r.updated_rows, r.deleted_rows)
+         for r in led.snapshots("demo.sales").collect()}
+    assert s["u1"] == (0, 1, 0) and s["d1"] == (0, 0, 1)
+    first = led.hist.lineage(led.hist.head("main"))[-2]
+    d = {r.id: r.change_type for r in led.diff("demo.sales", dict(commit=first), dict(ref="main")).collect()}
+    assert d == {1: "changed", 2: "removed"}

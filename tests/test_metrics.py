@@ -105,3 +105,16 @@ def test_retention_bounds(spark):
     end = df.select(F.max("ts")).scalar()
     kept = MX.retain(df, "ts", end, "7 DAYS")
     assert kept.count() == 7                          # (end - 7d, end]
+
+
+def test_label_matcher_and_time_range(spark):
+    df = spark.createDataFrame(
+        [("postgres", BASE, 1, 1.0), ("postgres", BASE + dt.timedelta(minutes=30), 2, 0.0),
+         ("minio", BASE + dt.timedelta(minutes=40), 3, 1.0),
+         ("postgres", BASE + dt.timedelta(hours=2), 4, 1.0)],
+        "job string, ts timestamp_ntz, id long, v double")
+    latest = MX.latest_sample(df, ["job"], "ts", "v", "id", matchers={"job": "postgres"})
+    assert [(r.job, r.last_value) for r in latest.collect()] == [("postgres", 1.0)]
+    g = MX.gauge_series(df, ["job"], "ts", "v", "id", "1 hour", start=BASE, end=BASE + dt.timedelta(hours=1),
+                        matchers={"job": "postgres"})
+    assert [(r.value, r.n_samples) for r in g.collect()] == [(0.0, 1)]   # (start, end]: id 1 excluded

@@ -226,6 +226,24 @@ class Ledger:
             getattr(tx, fn_name)(*args, **kw)
         return tx.commit_id
 
+    def create_namespace(self, namespace: str, if_not_exists: bool = True, **c):
+        """``CREATE NAMESPACE [IF NOT EXISTS]``: recorded as a commit on the ref."""
+        if namespace in self.namespaces(ref=c.get("ref", "main")):
+            if if_not_exists:
+                return None
+            raise LedgerError(f"namespace {namespace!r} already exists")
+        return self._single("create_namespace", namespace, **c)
+
+    def set_properties(self, table, props: dict, **c):
+        """``ALTER TABLE t SET TBLPROPERTIES``; ``compression`` sets the Parquet codec."""
+        return self._single("set_properties", table, props, **c)
+
+    def properties(self, table, ref="main", commit=None) -> dict:
+        out: dict = {}
+        for r in self.hist.table_commits(table, self.cut(ref, commit)):
+            out.update(r.props.get("table_properties", {}))
+        return out
+
     def create_table(self, table, schema, keys=(), partition_by=(), if_not_exists=False, **c):
         if if_not_exists and table in self.tables(ref=c.get("ref", "main")):
             return None
@@ -351,6 +369,16 @@ class Transaction:
         e = self._entry(table)
         e["ops"].append("drop")
 
+    def create_namespace(self, namespace):
+        e = self.tables.setdefault(f"{namespace}.", {"schema": TableSchema(()), "ops": [], "frames": [],
+                                                       "append_only": True, "props": {}})
+        e["ops"].append("namespace")
+
+    def set_properties(self, table, props: dict):
+        e = self._entry(table)
+        e["props"].setdefault("table_properties", {}).update({k: str(v) for k, v in props.items()})
+        e["ops"].append("properties")
+
     def add_column(self, table, name, type_, if_not_exists=False):
         e = self._entry(table)
         e["schema"] = e["schema"].add(name, type_, if_not_exists)
@@ -465,7 +493,13 @@ class Transaction:
                     frame = frame.unionByName(f, allowMissingColumns=True)
                 phys = V.to_physical(frame, schema, self.seq, F.col("_op"))
                 pcols = [p[0] for p in V.partition_columns(schema)]
-                counts = led.store.write_changes(table, self.commit_id, phys, pcols)
+                props = {}
+                if "create" not in e["ops"]:
+                    for r in led.hist.table_commits(table, self.parent):
+                        props.update(r.props.get("table_properties", {}))
+                props.update(e["props"].get("table_properties", {}))
+                counts = led.store.write_changes(table, self.commit_id, phys, pcols,
+                                                 compression=props.get("compression", "snappy"))
             recs.append(CommitRec(
                 commit_id=self.commit_id, parent_id=self.parent, seq=self.seq, ref=self.ref,
                 table_name=table, ts=self.ts, op="+".join(dict.fromkeys(e["ops"])),

@@ -85,10 +85,9 @@ def mirror(led, table: str, dest: str, ref: str | None = "main", commit: str | N
     src = led.read(table, ref=ref, commit=commit, ts=ts)
     src.write.mode("overwrite").parquet(dest)
     copy = led.spark.read.schema(src.schema).parquet(dest)
-    a = content_fingerprint(src).select(F.col("n").alias("source_rows"), F.col("h").alias("_hs"))
-    b = content_fingerprint(copy).select(F.col("n").alias("copy_rows"), F.col("h").alias("_hc"))
-    # both sides are single-row aggregates; a join on a constant key pairs them
-    j = a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k")
-    return j.select("source_rows", "copy_rows",
-                    ((F.col("source_rows") == F.col("copy_rows")) &
-                     F.col("_hs").eqNullSafe(F.col("_hc"))).alias("equal"))
+    fc = content_fingerprint(copy)
+    copy_n = fc.select("n").scalar()          # single-row scalar subqueries, no join
+    copy_h = fc.select("h").scalar()
+    a = content_fingerprint(src)
+    return a.select(F.col("n").alias("source_rows"), copy_n.alias("copy_rows"),
+                    ((F.col("n") == copy_n) & F.col("h").eqNullSafe(copy_h)).alias("equal"))

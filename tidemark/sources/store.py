@@ -128,14 +128,14 @@ class LedgerStore:
 
     # -- change rows ------------------------------------------------------
     def write_changes(self, table: str, commit_id: str, df: DataFrame,
-                      partition_cols: list[str]) -> dict[str, int]:
+                      partition_cols: list[str], compression: str = "snappy") -> dict[str, int]:
         """Write one commit's change rows; return row counts per op."""
         from pyspark.sql import Observation
         path = self.commit_changes_path(table, commit_id)
         obs = Observation(f"changes-{commit_id}")
         # counted while writing: no second pass over the data
         observed = df.observe(obs, *[F.count_if(F.col("_op") == op).alias(op) for op in ("I", "U", "D")])
-        w = observed.write.mode("overwrite").option("compression", "snappy")
+        w = observed.write.mode("overwrite").option("compression", compression)
         if partition_cols:
             w = w.partitionBy(*partition_cols)
         w.parquet(path)
