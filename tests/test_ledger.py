@@ -267,3 +267,16 @@ def test_history_snapshots_and_diff(spark, root):
     first = led.hist.lineage(led.hist.head("main"))[-2]
     d = {r.id: r.change_type for r in led.diff("demo.sales", dict(commit=first), dict(ref="main")).collect()}
     assert d == {1: "changed", 2: "removed"}
+
+
+def test_diff_of_identical_and_branch_versions(spark, root):
+    led = sales_ledger(spark, root)
+    assert led.diff("demo.sales", dict(ref="main"), dict(ref="main")).count() == 0
+    led.create_branch("dev")
+    led.delete("demo.sales", "id = 3", ref="dev")
+    led.update("demo.sales", {"product": "'Mouse 3'"}, where="id = 2", ref="main")
+    d = {r.id: r.change_type for r in led.diff("demo.sales", dict(ref="main"), dict(ref="dev")).collect()}
+    assert d == {2: "changed", 3: "removed"}
+    led.broadcast_rows = 0                      # forces the full outer join path
+    d2 = {r.id: r.change_type for r in led.diff("demo.sales", dict(ref="main"), dict(ref="dev")).collect()}
+    assert d2 == d

@@ -160,20 +160,53 @@ class Ledger:
                         "message", "n_inserted", "n_updated", "n_deleted")
 
     def diff(self, table: str, old: dict, new: dict) -> DataFrame:
-        """Row-level diff between two versions, each ``dict(ref=, commit=, ts=)``."""
-        so = self.schema(table, **old)
-        sn = self.schema(table, **new)
+        """Row-level diff between two versions, each ``dict(ref=, commit=, ts=)``.
+
+        Compares the columns both versions have.  Only keys that some commit between
+        the two versions touched can differ; when the commit log says those commits
+        hold at most ``broadcast_rows`` change rows, both states are built for those
+        keys only (broadcast semi join before the window), so the diff costs the size
+        of the change, not of the table.
+        """
+        cut_o, cut_n = self.cut(**old), self.cut(**new)
+        so = self.hist.table_commits(table, cut_o)[-1].schema
+        sn = self.hist.table_commits(table, cut_n)[-1].schema
         if tuple(so.keys) != tuple(sn.keys) or not sn.keys:
             raise LedgerError("diff needs the same identity columns on both sides")
-        a = self.read(table, **old)
-        b = self.read(table, **new)
-        cols = [n for n in dict.fromkeys(so.names + sn.names) if n not in sn.keys]
-        for c in cols:
-            if c not in a.columns:
-                a = a.withColumn(c, F.lit(None).cast(sn.field(c).type))
-            if c not in b.columns:
-                b = b.withColumn(c, F.lit(None).cast(so.field(c).type))
-        return V.row_diff(a, b, list(sn.keys), cols)
+        keys = list(sn.keys)
+        touched = self._touched_keys(table, cut_o, cut_n, keys)
+        a, _ = V.table_state(self.store, self.hist, table, cut_o, self.broadcast_rows, only_keys=touched)
+        b, _ = V.table_state(self.store, self.hist, table, cut_n, self.broadcast_rows, only_keys=touched)
+        a, b = V.to_logical(a, so), V.to_logical(b, sn)
+        cols = [n for n in so.names if sn.has(n) and n not in keys]
+        return V.row_diff(a, b, keys, cols)
+
+    def _touched_keys(self, table: str, cut_a: str, cut_b: str, keys: list[str]):
+        """Keys changed on either side since the common ancestor, or None when
+        there are too many to broadcast (or the table was re-created in between)."""
+        la, lb = set(self.hist.lineage(cut_a)), set(self.hist.lineage(cut_b))
+        side = []
+        for cut, other in ((cut_a, lb), (cut_b, la)):
+            recs = self.hist.table_commits(table, cut)
+            mine = [r for r in recs if r.commit_id not in other]
+            if any("create" in r.ops for r in mine):
+                return None
+            side.append((recs, [r for r in mine if r.n_rows > 0]))
+        if sum(r.n_rows for _, m in side for r in m) > self.broadcast_rows:
+            return None
+        out = None
+        for recs, mine in side:
+            if not mine:
+                continue
+            phys = V.physical_schema([r.schema for r in recs])
+            schema = recs[-1].schema
+            ch = self.store.read_changes(table, [r.commit_id for r in mine], phys.add("commit_id", "string"))
+            k = ch.select(*[F.col(schema.field(x).phys).alias(x) for x in keys])
+            out = k if out is None else out.unionByName(k)
+        if out is None:                      # nothing changed in between
+            struct = side[1][0][-1].schema.struct()
+            return self.spark.createDataFrame([], T.StructType([struct[k] for k in keys]))
+        return out
 
     def tables(self, namespace: str | None = None, ref: str | None = "main") -> list[str]:
         ts = self.hist.tables_at(self.hist.head(ref))
@@ -426,10 +459,10 @@ class Transaction:
                     clash = cur.select(*keys).join(new_keys, keys, "left_semi").limit(1).collect()
                 if clash:
                     raise LedgerError(f"key {clash[0].asDict()} already present in {table}")
-        else:
-            if keys:
-                rows = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+        elif keys:
+            rows = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
             e["append_only"] = False
+        # unkeyed tables: every row gets a fresh row id, so appends never overwrite
         e["frames"].append(W.append_changes(rows))
         e["ops"].append("append")
 

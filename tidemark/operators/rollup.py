@@ -53,8 +53,12 @@ def refresh(led, table: str, previous: DataFrame, group: list[str], amount: str,
     new_imgs = V.to_logical(latest.where(F.col("_op") != "D"), schema_new)
     touched = V.to_logical(latest, schema_new).select(*keys)
     if sum(r.n_rows for r in data) <= led.broadcast_rows:
-        touched = F.broadcast(touched)
-    old_imgs = led.read(table, **old).join(touched, keys, "left_semi")
+        # old state built for the touched keys only (broadcast semi join before its window)
+        st, schema_old = V.table_state(led.store, led.hist, table, old_cut, led.broadcast_rows,
+                                       only_keys=touched)
+        old_imgs = V.to_logical(st, schema_old)
+    else:
+        old_imgs = led.read(table, **old).join(touched, keys, "left_semi")
     signed = (new_imgs.select(*group, F.col(amount).cast(AMOUNT_TYPE).alias("_a"), F.lit(1).alias("_s"))
               .unionByName(old_imgs.select(*group, F.col(amount).cast(AMOUNT_TYPE).alias("_a"),
                                            F.lit(-1).alias("_s"))))

@@ -602,7 +602,7 @@ def stream_ingest(spark, sf):
     src = FX.event_drops_for(spark, sf)
     ev = table(spark, sf, "events")
     led = Ledger.open(spark, scratch_path(spark, "stream-ingest"))
-    led.create_table("metrics.samples", ev.schema, keys=["event_id"])
+    led.create_table("metrics.samples", ev.schema)          # samples have no identity: unkeyed
     q = ingest(spark, src, ev.schema, led, "metrics.samples", scratch_path(spark, "ckpt-ingest"))
     q.awaitTermination()
     return led.read("metrics.samples").groupBy(F.to_date("ts").alias("day")) \
