@@ -26,11 +26,21 @@ def drop_files_by_day(df: DataFrame, ts: str, dest: str) -> list[str]:
     return out
 
 
+def stream_tag(stream: str, checkpoint: str) -> str:
+    """Commit-id prefix of a stream: batch ids restart with a new checkpoint, so
+    the checkpoint location is part of the identity."""
+    import hashlib
+    return f"{stream}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:8]}"
+
+
 def _commit_batch(led: Ledger, table: str, stream: str, ref: str):
     def fn(batch: DataFrame, batch_id: int) -> None:
         cid = f"{stream}-{batch_id:08d}"
         if cid in led.hist.commit_index():
-            return                        # replayed batch: already published
+            # replayed batch, already published: run it to completion without
+            # writing so stateful operators still commit their state
+            batch.write.format("noop").mode("overwrite").save()
+            return
         led.append(table, batch, ref=ref, commit_id=cid, check_keys=False,
                    message=f"stream {stream} batch {batch_id}")
     return fn
@@ -42,7 +52,7 @@ def ingest(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, tab
     """Continuous sample ingest: new files under ``src`` -> appends to ``table``."""
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
          .option("recursiveFileLookup", "true").parquet(src))
-    w = (s.writeStream.foreachBatch(_commit_batch(led, table, stream, ref))
+    w = (s.writeStream.foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
     return w.start()
@@ -67,7 +77,7 @@ def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledg
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *series,
                      "n", "max_value")
     w = (out.writeStream.outputMode("update")
-         .foreachBatch(_commit_batch(led, table, stream, ref))
+         .foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
