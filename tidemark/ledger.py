@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import versioned as V
 from tidemark.operators import writes as W
-from tidemark.plans.lineage import (BaseRec, CommitRec, ExpireRec, History, LedgerError,
+from tidemark.plans.lineage import (BaseRec, CommitRec, LedgerError,
                                     MergeConflict, NoVersionError, RefNotFound, RefRec,
                                     TableNotFound)
 from tidemark.plans.schema import TableSchema
@@ -135,7 +135,6 @@ class Ledger:
         cut = self.cut(ref, commit)
         recs = self.hist.table_commits(table, cut)
         ids = [r.commit_id for r in recs if r.commit_id not in self.hist.expired_ids()]
-        lineage = set(self.hist.lineage(cut))
         c = self.commits_frame().where(F.col("table_name") == table).where(F.col("commit_id").isin(ids))
         return c.select(F.col("ts").alias("made_current_at"), "commit_id", "parent_id", "seq", "op",
                         F.lit(True).alias("is_current_ancestor"))

@@ -18,7 +18,6 @@ from tidemark.operators import metrics as MX
 from tidemark.operators import rollup as R
 from tidemark.plans import fixtures as FX
 from tidemark.plans.fixtures import ORDERS, ORDERS_COLS, day
-from tidemark.plans.lineage import LedgerError
 from tidemark.session import scratch_path
 from tidemark.sources.tables import register_views, table
 

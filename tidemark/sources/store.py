@@ -25,10 +25,6 @@ from pyspark.sql import types as T
 
 from tidemark.plans.lineage import BaseRec, CommitRec, ExpireRec, History, RefRec
 
-_PY2SPARK = {str: T.StringType(), int: T.LongType(), bool: T.BooleanType(),
-             dt.datetime: T.TimestampType()}
-
-
 def _struct_for(cls) -> T.StructType:
     hints = {"str": T.StringType(), "str | None": T.StringType(), "int": T.LongType(),
              "bool": T.BooleanType(), "dt.datetime": T.TimestampType(),

@@ -17,11 +17,18 @@ from tidemark.ledger import Ledger
 def drop_files_by_day(df: DataFrame, ts: str, dest: str) -> list[str]:
     """Write ``df`` as one folder of Parquet files per day, oldest day first, so the
     files arrive in time order the way a collector would drop them."""
+    import datetime as dt
     days = [r[0] for r in df.select(F.to_date(F.col(ts)).alias("d")).distinct().orderBy("d").collect()]
+    typ = df.schema[ts].dataType.simpleString()
     out = []
-    for d in days:    # one small job per day: only the list of days reaches the driver
+    for d in days:    # one job per day: only the list of days reaches the driver
+        lo = dt.datetime.combine(d, dt.time())
+        hi = lo + dt.timedelta(days=1)
+        # a range on the raw column is pushed into the scan, so row-group statistics
+        # skip the other days and all days together read the data about once
+        day_rows = df.where((F.col(ts) >= F.lit(lo).cast(typ)) & (F.col(ts) < F.lit(hi).cast(typ)))
         p = f"{dest}/day={d.isoformat()}"
-        df.where(F.to_date(F.col(ts)) == F.lit(d)).write.mode("overwrite").parquet(p)
+        day_rows.write.mode("overwrite").parquet(p)
         out.append(p)
     return out
 
