@@ -280,3 +280,16 @@ def test_diff_of_identical_and_branch_versions(spark, root):
     led.broadcast_rows = 0                      # forces the full outer join path
     d2 = {r.id: r.change_type for r in led.diff("demo.sales", dict(ref="main"), dict(ref="dev")).collect()}
     assert d2 == d
+
+
+def test_expire_purges_unreachable_change_files(spark, root):
+    import os
+    from tidemark.session import local_path
+    led = sales_ledger(spark, root)
+    led.update("demo.sales", {"product": "'A'"}, where="id = 1", ts=T(2024, 1, 2), commit_id="old")
+    led.update("demo.sales", {"product": "'B'"}, where="id = 2", ts=T(2024, 1, 3), commit_id="new")
+    before = rows(led.read("demo.sales"), "id", "product")
+    assert "old" in led.expire(T(2024, 1, 3), retain_last=1)
+    p = local_path(led.store.commit_changes_path("demo.sales", "old"))
+    assert not os.path.exists(p)
+    assert rows(led.read("demo.sales"), "id", "product") == before

@@ -118,3 +118,12 @@ def test_label_matcher_and_time_range(spark):
     g = MX.gauge_series(df, ["job"], "ts", "v", "id", "1 hour", start=BASE, end=BASE + dt.timedelta(hours=1),
                         matchers={"job": "postgres"})
     assert [(r.value, r.n_samples) for r in g.collect()] == [(0.0, 1)]   # (start, end]: id 1 excluded
+
+
+def test_matcher_on_label_map(spark):
+    df = spark.createDataFrame(
+        [("up", {"job": "postgres"}, BASE, 1, 1.0), ("up", {"job": "minio"}, BASE, 2, 0.0)],
+        "metric string, labels map<string,string>, ts timestamp_ntz, id long, value double")
+    df = df.withColumn("job", F.col("labels")["job"])
+    latest = MX.latest_sample(df, ["metric", "job"], "ts", "value", "id", matchers={"labels['job']": "minio"})
+    assert [(r.job, r.last_value) for r in latest.collect()] == [("minio", 0.0)]

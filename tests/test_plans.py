@@ -71,3 +71,14 @@ def test_series_windows_partition_by_time_bucket(spark):
     p = plan(inc)
     # the per-sample window is partitioned by (series, bucket), never by series alone
     assert "windowspecdefinition(s#" in p and "_b#" in p.split("windowspecdefinition(")[1].split(",")[1]
+
+
+def test_day_partitions_are_pruned(spark, root):
+    led = Ledger.open(spark, root)
+    led.create_table("m.e", "id BIGINT, ts TIMESTAMP_NTZ", keys=["id"], partition_by=[("day", "ts")])
+    led.append("m.e", spark.createDataFrame([(i, T(2024, 1, 1 + i % 5)) for i in range(20)],
+                                            "id BIGINT, ts TIMESTAMP_NTZ"))
+    df = led.read("m.e", days=("2024-01-02", "2024-01-03"))
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(_p_day_f2" in p
+    assert df.count() == 8

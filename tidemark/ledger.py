@@ -327,9 +327,10 @@ class Ledger:
         from tidemark.operators.maintenance import compact
         return compact(self, table, ref, commit)
 
-    def expire(self, older_than, retain_last: int = 1) -> list[str]:
+    def expire(self, older_than, retain_last: int = 1, purge: bool = True) -> list[str]:
+        """Expire old commits; ``purge`` deletes their now unreachable change files."""
         from tidemark.operators.maintenance import expire
-        return expire(self, _ts(older_than), retain_last)
+        return expire(self, _ts(older_than), retain_last, purge)
 
     def sql(self, query: str, views: dict | None = None) -> DataFrame:
         """Run SQL over versions: ``views`` maps a view name to read() kwargs."""

@@ -23,7 +23,7 @@ def compact(led, table: str, ref: str | None, commit: str | None) -> BaseRec:
     return rec
 
 
-def expire(led, older_than: dt.datetime, retain_last: int) -> list[str]:
+def expire(led, older_than: dt.datetime, retain_last: int, purge: bool = True) -> list[str]:
     """Expire commits older than ``older_than`` that are neither among the newest
     ``retain_last`` commits of any branch nor the head of any ref.
 
@@ -67,6 +67,12 @@ def expire(led, older_than: dt.datetime, retain_last: int) -> list[str]:
         recs.append(ExpireRec(led._next_seq() + len(recs), cid))
     led.store.append_log("expired", recs)
     hist.expired.extend(recs)
+    if purge:
+        # no live cut reads an expired commit's change rows any more: every lineage
+        # through one now starts from a base at or after it
+        for cid in doomed:
+            for r in idx[cid]:
+                led.store.delete_changes(r.table_name, cid)
     return doomed
 
 

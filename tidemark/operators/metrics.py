@@ -16,8 +16,11 @@ from tidemark.functions.status import UP_DOWN_MAPPING, UP_DOWN_THRESHOLDS, map_v
 
 
 def _matchers(df: DataFrame, matchers: dict | None) -> DataFrame:
+    """Label equality matchers: ``{"job": "postgres"}`` on a column, or
+    ``{"labels['job']": "postgres"}`` on a map of labels."""
     for c, v in (matchers or {}).items():
-        df = df.where(F.col(c) == F.lit(v))
+        col = c if isinstance(c, Column) else (F.expr(c) if "[" in c else F.col(c))
+        df = df.where(col == F.lit(v))
     return df
 
 

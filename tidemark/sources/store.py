@@ -145,6 +145,13 @@ class LedgerStore:
         paths = [self.commit_changes_path(table, c) for c in commit_ids]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
+    def delete_changes(self, table: str, commit_id: str) -> None:
+        import pyarrow.fs as pafs
+        fs, root = self._fs()
+        d = f"{root}/tables/{table}/changes/commit_id={commit_id}"
+        if fs.get_file_info(d).type == pafs.FileType.Directory:
+            fs.delete_dir(d)
+
     def write_base(self, table: str, commit_id: str, df: DataFrame, partition_cols: list[str]) -> int:
         path = self.base_path(table, commit_id)
         w = df.write.mode("overwrite")
