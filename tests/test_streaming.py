@@ -63,3 +63,13 @@ def test_window_counts_drop_rows_behind_the_watermark(spark, root):
 def test_commit_ids_depend_on_checkpoint():
     from tidemark.streaming.ingest import stream_tag
     assert stream_tag("w", "/a") != stream_tag("w", "/b")
+
+
+def test_stream_sink_compacts_every_n_batches(spark, root):
+    led = Ledger.open(spark, root)
+    led.create_table("m.s", SCHEMA)
+    fn = _commit_batch(led, "m.s", "c", "main", compact_every=2)
+    for i in range(5):
+        fn(spark.createDataFrame([(i, B, "click", float(i))], SCHEMA), i)
+    assert len(led.hist.bases) == 2
+    assert sorted(r.event_id for r in led.read("m.s").collect()) == [0, 1, 2, 3, 4]

@@ -40,7 +40,7 @@ def stream_tag(stream: str, checkpoint: str) -> str:
     return f"{stream}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:8]}"
 
 
-def _commit_batch(led: Ledger, table: str, stream: str, ref: str):
+def _commit_batch(led: Ledger, table: str, stream: str, ref: str, compact_every: int = 0):
     def fn(batch: DataFrame, batch_id: int) -> None:
         cid = f"{stream}-{batch_id:08d}"
         if cid in led.hist.commit_index():
@@ -50,16 +50,20 @@ def _commit_batch(led: Ledger, table: str, stream: str, ref: str):
             return
         led.append(table, batch, ref=ref, commit_id=cid, check_keys=False,
                    message=f"stream {stream} batch {batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            # many small batch commits -> one base; reads then list few partitions
+            led.compact(table, ref=ref)
     return fn
 
 
 def ingest(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, table: str,
            checkpoint: str, stream: str = "ingest", ref: str = "main",
-           max_files_per_trigger: int = 5, available_now: bool = True):
+           max_files_per_trigger: int = 5, available_now: bool = True, compact_every: int = 0):
     """Continuous sample ingest: new files under ``src`` -> appends to ``table``."""
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
          .option("recursiveFileLookup", "true").parquet(src))
-    w = (s.writeStream.foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref))
+    w = (s.writeStream.foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref,
+                                                  compact_every))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
     return w.start()
@@ -68,7 +72,8 @@ def ingest(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, tab
 def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, table: str,
                   checkpoint: str, ts: str, series: list[str], value: str,
                   window: str = "1 hour", delay: str = "1 hour", stream: str = "window",
-                  ref: str = "main", max_files_per_trigger: int = 5, available_now: bool = True):
+                  ref: str = "main", max_files_per_trigger: int = 5, available_now: bool = True,
+                  compact_every: int = 0):
     """Watermarked tumbling-window count / sum / max per series.
 
     Update mode emits each window's running aggregate; the sink keeps the newest
@@ -84,7 +89,7 @@ def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledg
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *series,
                      "n", "max_value")
     w = (out.writeStream.outputMode("update")
-         .foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref))
+         .foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref, compact_every))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
