@@ -23,8 +23,8 @@ def users_ledger(spark, root):
     led = Ledger.open(spark, root)
     led.create_table("demo_db.users", USERS, keys=["id"], ts=T(2024, 1, 1))
     led.append("demo_db.users",
-               spark.createDataFrame([(100, "Zeppelin User 1", T(2024, 1, 1)),
-                                      (101, "Zeppelin User 2", T(2024, 1, 1))], USERS),
+               spark.createDataFrame([(100, "Notebook User 1", T(2024, 1, 1)),
+                                      (101, "Notebook User 2", T(2024, 1, 1))], USERS),
                ts=T(2024, 1, 1, 1))
     return led
 
@@ -65,7 +65,7 @@ def test_schema_evolution_and_merge(spark, root):
     assert got == [(100, None), (101, None), (102, "schema@test.com")]
 
     staging = spark.createDataFrame(
-        [(100, "Zeppelin User 1 UPDATED", T(2024, 3, 3), "updated@example.com"),
+        [(100, "Notebook User 1 UPDATED", T(2024, 3, 3), "updated@example.com"),
          (103, "New Merged User", T(2024, 3, 3), "merged@example.com")], schema4)
     led.merge("demo_db.users", staging, on=["id"],
               update_set={"name": "source.name", "email": "source.email"},
@@ -74,7 +74,7 @@ def test_schema_evolution_and_merge(spark, root):
               ts=T(2024, 1, 3))
     got = {r.id: r for r in led.read("demo_db.users").collect()}
     assert sorted(got) == [100, 101, 102, 103]
-    assert got[100].name == "Zeppelin User 1 UPDATED" and got[100].email == "updated@example.com"
+    assert got[100].name == "Notebook User 1 UPDATED" and got[100].email == "updated@example.com"
     assert got[100].created_at == T(2024, 1, 1)          # not in the SET list: kept
     assert got[101].email is None
     assert got[102].name == "Schema Test"

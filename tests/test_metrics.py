@@ -82,12 +82,12 @@ def test_latest_sample_and_status(spark):
     df = spark.createDataFrame(
         [("pg", BASE, 1, 1.0), ("pg", BASE + dt.timedelta(seconds=15), 2, 0.0),
          ("pg", BASE + dt.timedelta(seconds=30), 3, None),
-         ("minio", BASE, 4, 1.0), ("minio", BASE, 5, 2.0)],
+         ("objstore", BASE, 4, 1.0), ("objstore", BASE, 5, 2.0)],
         "job string, ts timestamp_ntz, id long, up double")
     latest = MX.latest_sample(df, ["job"], "ts", "up", "id")
     st = {r.job: (r.last_value, r.status, r.color) for r in MX.status(latest).collect()}
     assert st["pg"] == (0.0, "DOWN", "red")          # NULL sample skipped (lastNotNull)
-    assert st["minio"] == (2.0, None, "green")       # tie on ts broken by id; 2 has no mapping
+    assert st["objstore"] == (2.0, None, "green")       # tie on ts broken by id; 2 has no mapping
 
 
 def test_threshold_color():
@@ -109,21 +109,21 @@ def test_retention_bounds(spark):
 
 def test_label_matcher_and_time_range(spark):
     df = spark.createDataFrame(
-        [("postgres", BASE, 1, 1.0), ("postgres", BASE + dt.timedelta(minutes=30), 2, 0.0),
-         ("minio", BASE + dt.timedelta(minutes=40), 3, 1.0),
-         ("postgres", BASE + dt.timedelta(hours=2), 4, 1.0)],
+        [("catalogdb", BASE, 1, 1.0), ("catalogdb", BASE + dt.timedelta(minutes=30), 2, 0.0),
+         ("objstore", BASE + dt.timedelta(minutes=40), 3, 1.0),
+         ("catalogdb", BASE + dt.timedelta(hours=2), 4, 1.0)],
         "job string, ts timestamp_ntz, id long, v double")
-    latest = MX.latest_sample(df, ["job"], "ts", "v", "id", matchers={"job": "postgres"})
-    assert [(r.job, r.last_value) for r in latest.collect()] == [("postgres", 1.0)]
+    latest = MX.latest_sample(df, ["job"], "ts", "v", "id", matchers={"job": "catalogdb"})
+    assert [(r.job, r.last_value) for r in latest.collect()] == [("catalogdb", 1.0)]
     g = MX.gauge_series(df, ["job"], "ts", "v", "id", "1 hour", start=BASE, end=BASE + dt.timedelta(hours=1),
-                        matchers={"job": "postgres"})
+                        matchers={"job": "catalogdb"})
     assert [(r.value, r.n_samples) for r in g.collect()] == [(0.0, 1)]   # (start, end]: id 1 excluded
 
 
 def test_matcher_on_label_map(spark):
     df = spark.createDataFrame(
-        [("up", {"job": "postgres"}, BASE, 1, 1.0), ("up", {"job": "minio"}, BASE, 2, 0.0)],
+        [("up", {"job": "catalogdb"}, BASE, 1, 1.0), ("up", {"job": "objstore"}, BASE, 2, 0.0)],
         "metric string, labels map<string,string>, ts timestamp_ntz, id long, value double")
     df = df.withColumn("job", F.col("labels")["job"])
-    latest = MX.latest_sample(df, ["metric", "job"], "ts", "value", "id", matchers={"labels['job']": "minio"})
-    assert [(r.job, r.last_value) for r in latest.collect()] == [("minio", 0.0)]
+    latest = MX.latest_sample(df, ["metric", "job"], "ts", "value", "id", matchers={"labels['job']": "objstore"})
+    assert [(r.job, r.last_value) for r in latest.collect()] == [("objstore", 0.0)]
