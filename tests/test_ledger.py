@@ -293,3 +293,11 @@ def test_expire_purges_unreachable_change_files(spark, root):
     p = local_path(led.store.commit_changes_path("demo.sales", "old"))
     assert not os.path.exists(p)
     assert rows(led.read("demo.sales"), "id", "product") == before
+
+
+def test_compact_twice_is_idempotent(spark, root):
+    led = sales_ledger(spark, root)
+    a = led.compact("demo.sales")
+    b = led.compact("demo.sales")
+    assert a == b and len(led.hist.bases) == 1
+    assert led.read("demo.sales").count() == 3

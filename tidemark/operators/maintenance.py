@@ -13,11 +13,17 @@ from tidemark.plans.lineage import BaseRec, ExpireRec, TableNotFound
 
 def compact(led, table: str, ref: str | None, commit: str | None) -> BaseRec:
     """Write the table state at a commit as a base; later reads use base + tail."""
+    import uuid
     cut = led.cut(ref, commit)
+    for b in led.hist.bases:
+        if b.table_name == table and b.commit_id == cut:
+            return b                      # already compacted at this commit
     state, schema = V.table_state(led.store, led.hist, table, cut, led.broadcast_rows)
     pcols = [p[0] for p in V.partition_columns(schema)]
-    n = led.store.write_base(table, cut, state, pcols)
-    rec = BaseRec(led._next_seq(), table, cut, led.store.base_path(table, cut), n)
+    # a fresh folder per base: never overwrite files a reader may be scanning
+    path = f"{led.store.base_path(table, cut)}-{uuid.uuid4().hex[:8]}"
+    n = led.store.write_base(path, state, pcols)
+    rec = BaseRec(led._next_seq(), table, cut, path, n)
     led.store.append_log("bases", [rec])
     led.hist.bases.append(rec)
     return rec

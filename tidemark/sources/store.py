@@ -152,8 +152,7 @@ class LedgerStore:
         if fs.get_file_info(d).type == pafs.FileType.Directory:
             fs.delete_dir(d)
 
-    def write_base(self, table: str, commit_id: str, df: DataFrame, partition_cols: list[str]) -> int:
-        path = self.base_path(table, commit_id)
+    def write_base(self, path: str, df: DataFrame, partition_cols: list[str]) -> int:
         w = df.write.mode("overwrite")
         if partition_cols:
             w = w.partitionBy(*partition_cols)
