@@ -320,7 +320,9 @@ def vary(blocks: list[Block], labels: list[bool], texts: list[str], rng: np.rand
         if y and "article" in path:
             at = path.index("article")
             path = path[:at] + kind + path[at + 1:]
-        out.append(Block(path, b.text, b.linked))
+        # Lengths vary on both sides, so that a short paragraph is not taken for a menu entry.
+        words = text(not y) if rng.random() < 0.25 else b.text
+        out.append(Block(path, words, len(words) if b.linked else 0))
         marks.append(y)
     for _ in range(int(rng.integers(0, 9))):
         name = str(rng.choice(BOILER))
@@ -342,7 +344,7 @@ def vary(blocks: list[Block], labels: list[bool], texts: list[str], rng: np.rand
     return out, marks
 
 
-def train(pages: list[str], seed: int = 11, epochs: int = 6, copies: int = 3) -> BlockLabeller:
+def train(pages: list[str], seed: int = 11, epochs: int = 9, copies: int = 3) -> BlockLabeller:
     """Fit a labeller on sample pages (and on a built-in page, so that it works without any)."""
     rng = np.random.default_rng(seed)
     plain = ("<html><head><title>a page</title></head><body><nav><ul><li><a>home</a></li><li><a>about</a></li></ul>"

@@ -295,3 +295,17 @@ def _fit_from(docs, labels, vectors, id_col, text_col, label_col, train_rows) ->
     width = vectors.shape[1] + DIM + SHAPES + 1
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in got]).reshape(-1, width)
     return fit(x, np.array([r["y"] for r in got], dtype=np.int64))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = 0.3, id_col: str = "doc_id",
+              text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score at least ``cut_at``, all columns unchanged."""
+    vectors = word_vectors(docs, text_col)
+    model = _fit_from(docs, labels, vectors, id_col, text_col, label_col, train_rows)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(text_col).fill_null("").cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(model.score(pooled(texts, vectors)) >= cut_at, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
