@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_root
+from tidemark.session import scratch_path
 from tidemark.sources.tables import table
 
 __all__ = ["cut", "ship", "table", "text_or_empty"]
@@ -38,16 +38,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Write ``df`` as a table in the shared scratch folder and read it back.
 
-    The folder is ``spark.checkpoint.dir``; one is created only where the setting is
-    missing, as in tests.  A lost executor costs a re-read of the written files.
+    This cuts the lineage: a lost executor costs a re-read of the written files.  The folder
+    lies under ``spark.checkpoint.dir``; one is created only where that is unset, as in tests.
+    Unlike a checkpoint the table has a known size, so joins after it are planned by it, and
+    the size estimates of iterative plans do not pile up.
     """
     spark: SparkSession = df.sparkSession
-    root = checkpoint_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

@@ -270,9 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     keyed = reps.select("id", F.explode("bands").alias("key"))
     tied = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = keyed.join(tied.select("key", "hub"), "key").select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    areas = components(ties)
-    areas = cut(areas.select("id", "label").unionByName(
-        areas.select(F.col("label").alias("id"), "label")).distinct())
+    areas = cut(components(ties))
     sizes = areas.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     placed = (areas.join(sizes, "label")
               .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
