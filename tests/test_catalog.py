@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tidemark.plans import catalog
 from tidemark.sources.tables import TABLES
 
 SF = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
@@ -38,7 +39,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_streaming():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(catalog.queries()) - set(E.oracle_sql())
     assert not missing, missing
 
 
@@ -48,11 +49,11 @@ def test_entry_smoke(spark):
     assert len(df.collect()) == 2
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, key):
-    df = E.queries()[key](spark, SF)
+    df = catalog.QUERIES[key](spark, SF)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    res = duck.execute(E.oracle_sql()[key])
+    res = duck.execute(catalog.ORACLE[key])
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
     assert got == _rows(ocols, res.fetchall())

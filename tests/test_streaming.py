@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark import Ledger
 from tidemark.session import scratch_path
-from tidemark.streaming.ingest import _commit_batch, ingest, window_counts
+from tidemark.streaming.ingest import (_commit_batch, create_window_table, ingest, window_counts,
+                                       window_totals)
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, value DOUBLE"
 B = dt.datetime(2024, 1, 1)
@@ -38,26 +39,38 @@ def test_ingest_then_restart_adds_only_new_files(spark, root):
     assert sorted(r.event_id for r in led.read("m.s").collect()) == [1, 2]
 
 
-def test_window_counts_drop_rows_behind_the_watermark(spark, root):
-    src = scratch_path(spark, "drops")
+def test_window_counts_keep_and_report_late_rows(spark, root):
+    src, ckpt = scratch_path(spark, "drops"), scratch_path(spark, "ckpt")
     led = Ledger.open(spark, root)
-    led.create_table("m.h", "window_start timestamp_ntz, event_type string, n bigint, max_value double",
-                     keys=["window_start", "event_type"])
+    create_window_table(led, "m.h", "event_type string")
     h = dt.timedelta(hours=1)
-    # file 1: hours 0 and 5; file 2 arrives later with a row for hour 1 (late: watermark is 5h - 1h)
-    spark.createDataFrame([(1, B, "a", 1.0), (2, B + 5 * h, "a", 2.0)], SCHEMA).write.parquet(f"{src}/f1")
     schema = spark.createDataFrame([], SCHEMA).schema
-    ckpt = scratch_path(spark, "ckpt")
-    window_counts(spark, src, schema, led, "m.h", ckpt, "ts", ["event_type"],
-                  "value", max_files_per_trigger=1).awaitTermination()
-    spark.createDataFrame([(3, B + h, "a", 9.0), (4, B + 5 * h + dt.timedelta(minutes=5), "a", 3.0)],
-                          SCHEMA).write.parquet(f"{src}/f2")
-    # the same query resumes from its checkpoint: its watermark is now 5h - 1h
-    window_counts(spark, src, schema, led, "m.h", ckpt, "ts", ["event_type"],
-                  "value", max_files_per_trigger=1).awaitTermination()
-    got = {r.window_start: r.n for r in led.read("m.h").collect()}
-    assert got[B + 5 * h] == 2 and got[B] == 1
-    assert B + h not in got                         # the late row was dropped
+    files = [[(1, B, "a", 1.0), (2, B + 5 * h, "a", 2.0), (5, B, None, 4.0)],
+             [(3, B + h, "a", 9.0), (4, B + 5 * h + dt.timedelta(minutes=5), "a", 3.0), (6, B, None, 7.0)]]
+    for i, rows in enumerate(files):              # the second file is partly behind the first
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{src}/f{i}")
+        window_counts(spark, src, schema, led, "m.h", ckpt, "ts", ["event_type"],
+                      "value", max_files_per_trigger=1).awaitTermination()
+    got = {(r.window_start, r.event_type): (r.n, r.max_value, r.n_late)
+           for r in window_totals(led.read("m.h"), ["event_type"]).collect()}
+    assert got == {(B, "a"): (1, 1.0, 0), (B + h, "a"): (1, 9.0, 1), (B + 5 * h, "a"): (2, 3.0, 0),
+                   (B, None): (2, 7.0, 1)}
+
+
+def test_window_totals_do_not_depend_on_the_files(spark, root):
+    rows = [(i, B + dt.timedelta(minutes=i * 7), "ab"[i % 2], float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = None
+    for n, per in ((1, 1), (16, 3), (16, 16)):
+        src = scratch_path(spark, "drops")
+        df.repartition(n).write.parquet(src)
+        led = Ledger.open(spark, f"{root}-{n}-{per}")
+        create_window_table(led, "m.h", "event_type string")
+        window_counts(spark, src, df.schema, led, "m.h", scratch_path(spark, "ckpt"), "ts", ["event_type"], "value",
+                      max_files_per_trigger=per).awaitTermination()
+        got = sorted(tuple(r) for r in window_totals(led.read("m.h"), ["event_type"]).drop("n_late").collect())
+        want = want or got
+        assert got == want and sum(r[2] for r in got) == 400
 
 
 def test_commit_ids_depend_on_checkpoint():

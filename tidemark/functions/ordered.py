@@ -23,6 +23,16 @@ def with_bucket(df: DataFrame, ts: str, bucket_us: int, name: str = "_b") -> Dat
     return df.withColumn(name, F.floor(micros(ts) / F.lit(bucket_us)).cast("long"))
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that matches NULL keys; the columns of ``other`` besides the keys are added."""
+    o = other.select(*[F.col(k).alias(f"_o_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+        cond = c if cond is None else cond & c
+    return df.join(o, cond).drop(*[f"_o_{k}" for k in keys])
+
+
 def bucketed_row_number(df: DataFrame, group: list[str], ts: str, tiebreak: str,
                         bucket_us: int = 3600 * US, name: str = "rn") -> DataFrame:
     """``row_number() over (partition by group order by ts, tiebreak)``, computed per
@@ -32,7 +42,7 @@ def bucketed_row_number(df: DataFrame, group: list[str], ts: str, tiebreak: str,
     wg = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wg), F.lit(0))).drop("_n")
     wb = Window.partitionBy(*group, "_b").orderBy(ts, tiebreak)
-    return (d.join(offsets, [*group, "_b"])
+    return (null_safe_join(d, offsets, [*group, "_b"])
             .withColumn(name, F.row_number().over(wb) + F.col("_off"))
             .drop("_b", "_off"))
 
@@ -40,20 +50,22 @@ def bucketed_row_number(df: DataFrame, group: list[str], ts: str, tiebreak: str,
 def reset_aware_increase(df: DataFrame, series: list[str], ts: str, value: str, tiebreak: str,
                          bucket_us: int = 3600 * US, name: str = "inc") -> DataFrame:
     """Per-sample counter increment: ``v - prev``, or ``v`` after a reset (v < prev),
-    0 for the first sample of a series.  The previous sample of a bucket's first
-    row comes from the last sample of the nearest earlier bucket."""
+    0 for the first sample of a series.  A NULL value is no sample: its row gets 0 and
+    the next sample is compared with the last value before it.  The previous sample of a
+    bucket's first one comes from the nearest earlier bucket that has any."""
     d = with_bucket(df, ts, bucket_us)
     last = (d.groupBy(*series, "_b")
-            .agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tiebreak))).alias("_last")))
-    ws = Window.partitionBy(*series).orderBy("_b")
-    carry = last.withColumn("_carry", F.lag("_last").over(ws)).drop("_last")
-    wb = Window.partitionBy(*series, "_b").orderBy(ts, tiebreak)
-    prev = F.coalesce(F.lag(value).over(wb), F.col("_carry"))
+            .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(F.col(ts), F.col(tiebreak))))
+                 .alias("_last")))
+    ws = Window.partitionBy(*series).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(ws)).drop("_last")
+    wb = Window.partitionBy(*series, "_b").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.coalesce(F.last(value, ignorenulls=True).over(wb), F.col("_carry"))
     v = F.col(value)
-    inc = (F.when(F.col("_prev").isNull(), F.lit(0.0))
+    inc = (F.when(F.col("_prev").isNull() | v.isNull(), F.lit(0.0))
            .when(v < F.col("_prev"), v)
            .otherwise(v - F.col("_prev")))
-    return (d.join(carry, [*series, "_b"])
+    return (null_safe_join(d, carry, [*series, "_b"])
             .withColumn("_prev", prev)
             .withColumn(name, inc.cast("double"))
             .drop("_prev", "_carry"))

@@ -40,9 +40,11 @@ def _now() -> dt.datetime:
 
 
 def _ts(x) -> dt.datetime | None:
-    if x is None or isinstance(x, dt.datetime):
+    """Naive UTC time; a time with an offset is converted."""
+    if x is None:
         return x
-    return dt.datetime.fromisoformat(str(x))
+    t = x if isinstance(x, dt.datetime) else dt.datetime.fromisoformat(str(x))
+    return t if t.tzinfo is None else t.astimezone(dt.timezone.utc).replace(tzinfo=None)
 
 
 class Ledger:
@@ -436,7 +438,8 @@ class Transaction:
         """Insert rows.  ``check_keys=True`` (keyed tables) rejects NULL, duplicate and
         already-present keys, and lets reads skip the latest-per-key shuffle for this
         commit.  ``check_keys=False`` makes the append an upsert: a later row for an
-        existing key replaces it."""
+        existing key replaces it; a NULL key fails the write.  Rows staged earlier in the
+        same transaction count as present."""
         e = self._entry(table)
         schema = e["schema"]
         rows = W.conform(rows, schema, by_name)
@@ -448,7 +451,11 @@ class Transaction:
             if most > 1:
                 dup = W.duplicate_key(rows, keys)
                 raise LedgerError(f"duplicate key {dup.asDict()} in rows appended to {table}")
-            if "create" not in e["ops"] and n > 0:
+            for staged in e["frames"]:
+                clash = staged.select(*keys).join(rows.select(*keys), keys, "left_semi").limit(1).collect()
+                if clash:
+                    raise LedgerError(f"key {clash[0].asDict()} already staged for {table}")
+            if "create" not in e["ops"] and n > 0 and not e["frames"]:
                 new_keys = rows.select(*keys)
                 if n <= self.led.broadcast_rows:
                     # state restricted to the new keys: no shuffle of the table
@@ -460,7 +467,7 @@ class Transaction:
                 if clash:
                     raise LedgerError(f"key {clash[0].asDict()} already present in {table}")
         elif keys:
-            rows = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+            rows = W.require_keys(rows, keys, table)
             e["append_only"] = False
         # unkeyed tables: every row gets a fresh row id, so appends never overwrite
         e["frames"].append(W.append_changes(rows))
@@ -469,22 +476,47 @@ class Transaction:
     def merge(self, table, source: DataFrame, on, update_set=None, insert_values=None):
         on = [on] if isinstance(on, str) else list(on)
         schema = self._entry(table)["schema"]
-        n, most, _ = W.key_profile(source, on)
-        if most > 1 and list(on) == list(schema.keys):
+        if schema.keys and set(update_set or ()) & set(schema.keys):
+            raise LedgerError(f"MERGE cannot update identity columns {list(schema.keys)}")
+        on_keys = bool(schema.keys) and set(on) == set(schema.keys)
+        n, most, nulls = W.key_profile(source, on)
+        if on_keys and nulls:
+            raise LedgerError(f"NULL identity in the MERGE source for {table}")
+        if most > 1 and on_keys:
             dup = W.duplicate_key(source, on)
             raise LedgerError(f"MERGE source has several rows for key {dup.asDict()}")
         small = n <= self.led.broadcast_rows
-        if small and list(on) == list(schema.keys):
+        if small and on_keys:
             # only target rows whose key is in the (small, counted) source can match
-            target, schema = self._current(table, only_keys=source.select(*on))
+            target, schema = self._current(table, only_keys=source.select(*schema.keys))
         else:
             target, schema = self._current(table)
+        if most > 1:
+            # several source rows may share unmatched values; a target row may match one at most
+            several = source.groupBy(*on).count().where("count > 1").select(*on)
+            twice = target.join(several, on, "left_semi").limit(1).collect()
+            if twice:
+                raise LedgerError(f"several MERGE source rows match the target row {twice[0].asDict()}")
+        if schema.keys and not on_keys:
+            self._check_inserted_keys(table, target, source, schema, on, insert_values)
         e = self._entry(table)
         e["frames"].append(W.merge_changes(target, source, schema, on, update_set, insert_values,
                                            broadcast_source=small))
         e["append_only"] = False
         e["ops"].append("merge")
 
+    def _check_inserted_keys(self, table, target, source, schema, on, insert_values):
+        """A MERGE matched on other columns must not insert NULL, repeated or existing keys."""
+        keys = list(schema.keys)
+        new = W.merge_changes(target, source, schema, on, None, insert_values or {
+            c: F.col(f"source.{c}") for c in source.columns if schema.has(c)}, False).select(*keys)
+        _, most, nulls = W.key_profile(new, keys)
+        if nulls or most > 1:
+            raise LedgerError(f"MERGE would insert NULL or repeated identities into {table}")
+        there = target.select(*keys).join(new, keys, "left_semi").limit(1).collect()
+        if there:
+            raise LedgerError(f"MERGE would insert the existing key {there[0].asDict()} into {table}")
+
     def delete(self, table, where):
         cur, schema = self._current(table)
         e = self._entry(table)
@@ -494,6 +526,8 @@ class Transaction:
 
     def update(self, table, set_: dict, where=None):
         cur, schema = self._current(table)
+        if set(set_) & set(schema.keys):
+            raise LedgerError(f"UPDATE cannot set identity columns {list(schema.keys)}; delete and append instead")
         e = self._entry(table)
         e["frames"].append(W.update_changes(cur, schema, where, set_))
         e["append_only"] = False
@@ -508,11 +542,19 @@ class Transaction:
         e["append_only"] = False
         e["ops"].append(op)
 
+    def put_schema(self, table, schema: TableSchema, op: str):
+        """Stage a schema without rows; used by branch merges."""
+        e = self._entry(table)
+        e["schema"] = schema
+        e["ops"].append(op)
+
     # -- publishing -------------------------------------------------------
     def commit(self) -> str:
         led = self.led
         if not self.tables:
             raise LedgerError("empty transaction")
+        if self.commit_id in led.hist.commit_index():
+            raise LedgerError(f"commit id {self.commit_id!r} is taken")   # its data must never be overwritten
         if led.hist.head(self.ref) != self.parent:
             raise LedgerError(f"{self.ref} moved during the transaction")
         self.seq = led._next_seq()

@@ -84,7 +84,8 @@ def expire(led, older_than: dt.datetime, retain_last: int, purge: bool = True) -
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive (row count, hash sum) of a DataFrame; one partial aggregate."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    # xxhash64 skips NULLs, so the positions of NULLs are hashed as well
+    h = F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
 
 

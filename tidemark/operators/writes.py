@@ -59,6 +59,14 @@ def key_profile(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
     return int(r["n"]), int(r["m"]), int(r["z"])
 
 
+def require_keys(rows: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """``rows`` with a check inside the plan: the write fails on a NULL key part."""
+    for k in keys:
+        rows = rows.withColumn(k, F.coalesce(F.col(k), F.raise_error(
+            F.lit(f"NULL identity {k} in rows appended to {table}")).cast(rows.schema[k].dataType)))
+    return rows
+
+
 def append_changes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_op", F.lit("I"))
 

@@ -7,6 +7,8 @@ commit already published and is skipped, so the sink is exactly-once.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,6 @@ from tidemark.ledger import Ledger
 def drop_files_by_day(df: DataFrame, ts: str, dest: str) -> list[str]:
     """Write ``df`` as one folder of Parquet files per day, oldest day first, so the
     files arrive in time order the way a collector would drop them."""
-    import datetime as dt
     days = [r[0] for r in df.select(F.to_date(F.col(ts)).alias("d")).distinct().orderBy("d").collect()]
     typ = df.schema[ts].dataType.simpleString()
     out = []
@@ -69,27 +70,50 @@ def ingest(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, tab
     return w.start()
 
 
+WINDOW_COLUMNS = "n bigint, max_value double, n_late bigint, last_ts timestamp_ntz"
+
+
+def create_window_table(led: Ledger, table: str, series: str, ref: str = "main") -> None:
+    """Table for ``window_counts``; ``series`` declares the series columns, as in SQL."""
+    led.create_table(table, f"window_start timestamp_ntz, {series}, {WINDOW_COLUMNS}", ref=ref)
+
+
 def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledger, table: str,
                   checkpoint: str, ts: str, series: list[str], value: str,
                   window: str = "1 hour", delay: str = "1 hour", stream: str = "window",
                   ref: str = "main", max_files_per_trigger: int = 5, available_now: bool = True,
                   compact_every: int = 0):
-    """Watermarked tumbling-window count / sum / max per series.
+    """Tumbling-window count and max per series, kept as partial aggregates.
 
-    Update mode emits each window's running aggregate; the sink keeps the newest
-    row per (window, series) key, so the table converges to the final values.
-    Rows older than the watermark are dropped (late data).
+    Each micro-batch adds its own partial rows, one per window and series; ``window_totals``
+    folds them.  Counts add up and maxima combine, so the totals do not depend on how files
+    fall into batches, no state is held between batches and no row is ever dropped.  Rows
+    more than ``delay`` behind the newest time of the batches before theirs are counted and
+    also reported as ``n_late``.
     """
+    import pandas as pd
+    width = pd.Timedelta(window).value // 1000
+    slack = dt.timedelta(microseconds=pd.Timedelta(delay).value // 1000)
+    tag = stream_tag(stream, checkpoint)
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        seen = led.read(table, ref=ref).agg(F.max("last_ts")).first()[0]
+        late = F.col(ts).cast("timestamp_ntz") < F.lit(seen - slack) if seen is not None else F.lit(False)
+        start = F.timestamp_micros(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width)) * F.lit(width))
+        part = (batch.groupBy(start.cast("timestamp_ntz").alias("window_start"), *series)
+                .agg(F.count(F.lit(1)).alias("n"), F.max(F.col(value)).alias("max_value"),
+                     F.sum(F.when(late, 1).otherwise(0)).cast("bigint").alias("n_late"),
+                     F.max(F.col(ts).cast("timestamp_ntz")).alias("last_ts")))
+        _commit_batch(led, table, tag, ref, compact_every)(part, batch_id)
+
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
          .option("recursiveFileLookup", "true").parquet(src))
-    s = s.withColumn(ts, F.col(ts).cast("timestamp"))        # watermarks need TIMESTAMP, not _NTZ
-    agg = (s.withWatermark(ts, delay)
-           .groupBy(F.window(F.col(ts), window).alias("w"), *series)
-           .agg(F.count(F.lit(1)).alias("n"), F.max(F.col(value)).alias("max_value")))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *series,
-                     "n", "max_value")
-    w = (out.writeStream.outputMode("update")
-         .foreachBatch(_commit_batch(led, table, stream_tag(stream, checkpoint), ref, compact_every))
-         .option("checkpointLocation", checkpoint))
+    w = s.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def window_totals(partials: DataFrame, series: list[str]) -> DataFrame:
+    """One row per window and series from the partial rows of ``window_counts``."""
+    return partials.groupBy("window_start", *series).agg(
+        F.sum("n").alias("n"), F.max("max_value").alias("max_value"), F.sum("n_late").alias("n_late"))
