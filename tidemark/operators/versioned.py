@@ -137,7 +137,8 @@ def to_physical(df: DataFrame, schema: TableSchema, seq: int, op: Column | str)
     cols = [F.lit(seq).cast("long").alias("_seq"),
             (op if isinstance(op, Column) else F.lit(op)).alias("_op")]
     if not schema.keys:
-        cols.append(F.col("_row_id") if "_row_id" in df.columns else F.expr("uuid()").alias("_row_id"))
+        fresh = F.expr("uuid()")              # rows without an id are new
+        cols.append((F.coalesce("_row_id", fresh) if "_row_id" in df.columns else fresh).alias("_row_id"))
     for f in schema.fields:
         src = F.col(f.name) if f.name in df.columns else F.lit(None)
         cols.append(src.cast(f.type).alias(f.phys))
