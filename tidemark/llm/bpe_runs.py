@@ -14,9 +14,11 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_RUNS = 500_000      # entries kept per Python worker; a memory bound, never a result bound
+MEMO_RUNS = 200_000      # entries of a memo's generation; a memory bound, never a result bound
 MEMO_BYTES = 64          # longer runs are encoded without being kept
 _open: dict[str, "RunEncoder"] = {}
 
@@ -41,7 +43,29 @@ def _is_plain(path: str) -> bool:
     pre = (conf.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return (norm == _PLAIN_NORMALIZER and [p["type"] for p in pre] == ["Split", "ByteLevel"]
             and pre[0]["pattern"].get("Regex") == _PLAIN_SPLIT and not pre[1]["add_prefix_space"]
-            and not pre[1]["use_regex"] and all(t["content"].startswith("<|") for t in conf["added_tokens"]))
+            and not pre[1]["use_regex"] and conf["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in conf["added_tokens"]))
+
+
+class Memo:
+    """Bytes or words to ids in two generations: a full one becomes the old one, from which
+    entries still in use are taken over, so frequent words are never encoded again."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def put(self, key, ids: bytes) -> None:
+        if len(self.new) >= MEMO_RUNS:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
+
+    def get(self, key) -> bytes | None:
+        ids = self.new.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is not None:
+                self.put(key, ids)
+        return ids
 
 
 class RunEncoder:
@@ -49,10 +73,11 @@ class RunEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
         probe = "a b"
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "b", probe)]
         if ids[0] + ids[1] != ids[2]:
@@ -63,39 +88,65 @@ class RunEncoder:
             self.tokens[i] = token.encode()
         self.plain = _is_plain(path)
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.merge = self.tokenizer.model.tokenize
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of plain characters, straight from the merge model."""
-        if not word.isascii():
-            letters = self.letters
-            spelled = "".join([letters[b] for b in word.encode()])
-        else:
-            spelled = word
-        ids = array("I", [t.id for t in self.merge(spelled)]).tobytes()
-        if len(word) <= MEMO_BYTES:
-            if len(self.words) >= MEMO_RUNS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        self.words = Memo()
+        self.is_end = np.array([t.endswith(b"</w>") for t in self.tokens])
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain characters: many words in one call of the merge model alone.
+
+        They are spelled in byte letters and parted by spaces; each ends in its only token
+        with the word-end mark, which is where the ids are cut.
+        """
+        letters = self.letters
+        spelled = [w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in words]
+        got = self.merges.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids
+        ids = np.array(got, dtype="<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary marks no word ends")
+        data, at, out = ids.tobytes(), 0, []
+        for e in ends.tolist():
+            out.append(data[at:e])
+            at = e
+        return out
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         new: dict[bytes, bytes] = {}
         rest: list[str] = []
-        known, plain, words_of = self.words.get, _PLAIN_RUN.fullmatch, _PLAIN_WORD.findall
+        cut_up: list[tuple[bytes, list[str]]] = []
+        known: dict[str, bytes | None] = {}
+        word_ids, plain, words_of, old = self.words.get, _PLAIN_RUN.fullmatch, _PLAIN_WORD.findall, self.memo.get
         for r in runs:
+            ids = old(r)                            # of the old generation
+            if ids is not None:
+                new[r] = ids
+                continue
             s = r.decode("utf-8")
             if self.plain and "<|" not in s and plain(s):
-                new[r] = b"".join([known(w) or self._word(w) for w in words_of(s.lower())])
+                words = words_of(s.lower())
+                cut_up.append((r, words))
+                for w in words:
+                    if w not in known:
+                        known[w] = word_ids(w)
             else:
                 rest.append(s)
+        unknown = [w for w, ids in known.items() if ids is None]
+        for i in range(0, len(unknown), 2000):
+            some = unknown[i:i + 2000]
+            for w, ids in zip(some, self._encode_words(some)):
+                known[w] = ids
+                if len(w) <= MEMO_BYTES:
+                    self.words.put(w, ids)
+        for r, words in cut_up:
+            new[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         if rest:
             got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
             new.update((s.encode(), array("I", e.ids).tobytes()) for s, e in zip(rest, got))
-        if len(self.memo) + len(new) > MEMO_RUNS:
-            self.memo.clear()
-        self.memo.update((r, v) for r, v in new.items() if len(r) <= MEMO_BYTES)
+        for r, v in new.items():
+            if len(r) <= MEMO_BYTES:
+                self.memo.put(r, v)
         return new
 
     def encode_many(self, texts: list[bytes], group: int = 1 << 20) -> list[bytes]:
@@ -117,7 +168,7 @@ class RunEncoder:
                 size += len(texts[end])
                 end += 1
             split = [t.split() for t in texts[at:end]]
-            get = self.memo.get
+            get = self.memo.new.get
             found = [[get(r) for r in runs] for runs in split]
             unknown = {r for runs, f in zip(split, found) if None in f for r, v in zip(runs, f) if v is None}
             new = self._learn(list(unknown)) if unknown else {}

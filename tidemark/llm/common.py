@@ -17,11 +17,16 @@ __all__ = ["cut", "ship", "table", "text_or_empty"]
 _shipped: set[str] = set()
 
 
+BATCH_ROWS = 1000       # rows in an Arrow batch: texts are long, and a worker holds a batch at a time
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application.
+    """Give the executors this package, once per application, and bound their Arrow batches.
 
     Spark's own file service carries a zip of the sources from the driver to each executor.
     """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
