@@ -64,7 +64,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     key = np.zeros((len(sig), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        key = mix(key ^ (rows[:, :, r] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(r + 1)))
+        key = mix(key ^ (rows[:, :, r] + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % (1 << 64))))
     return key.view(np.int64)
 
 
