@@ -154,3 +154,17 @@ def test_fingerprint_sees_moved_nulls(spark):
     one = rows(spark, (1, "a", None))
     two = rows(spark, (1, None, "a"))
     assert content_fingerprint(one).first().h != content_fingerprint(two).first().h
+
+
+def test_rollup_refresh_between_diverged_branches(spark, led):
+    from tidemark.operators import rollup as R
+    s = "id bigint, g string, amount double"
+    led.create_table("a.r", s, keys=["id"])
+    led.append("a.r", rows(spark, (1, "x", 1.0), (2, "x", 5.0), schema=s))
+    led.create_branch("dev")
+    led.append("a.r", rows(spark, (3, "x", 7.0), schema=s), ref="dev")
+    led.delete("a.r", "id = 1")
+    old = R.rollup(led.read("a.r", ref="dev"), ["g"], "amount")
+    got = R.refresh(led, "a.r", old, ["g"], "amount", dict(ref="dev"), dict(ref="main")).collect()
+    want = R.rollup(led.read("a.r"), ["g"], "amount").collect()
+    assert got == want and (got[0].n_rows, float(got[0].total)) == (1, 5.0)

@@ -40,6 +40,9 @@ def refresh(led, table: str, previous: DataFrame, group: list[str], amount: str,
             old: dict, new: dict) -> DataFrame:
     old_cut = led.cut(**old)
     new_cut = led.cut(**new)
+    if old_cut not in led.hist.lineage(new_cut) or not led.hist.table_commits(table, new_cut)[-1].schema.keys:
+        # diverged versions have changes on both sides, and rows without a key have no old image to find
+        return rollup(led.read(table, **new), group, amount)
     recs, tail = changes_between(led, table, old_cut, new_cut)
     data = [r for r in tail if r.n_rows > 0]
     if not data:
