@@ -18,6 +18,7 @@ _shipped: set[str] = set()
 
 
 BATCH_ROWS = 1000       # rows in an Arrow batch: texts are long, and a worker holds a batch at a time
+BATCH_BYTES = 8 << 20   # and its bytes, about: rows differ in length by orders of magnitude
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +28,9 @@ def ship(spark: SparkSession) -> None:
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(most).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
