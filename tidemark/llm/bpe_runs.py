@@ -1,9 +1,11 @@
-"""Exact, memoised encoding of text between white spaces.
+"""Exact, memoised encoding of text between white spaces, or word by word where that is the same.
 
 The tokenizers handled here drop white space before merging, so no token spans one:
 encode(a + " " + b) == encode(a) + encode(b).  A text is therefore the concatenation of
 its white-space-free runs, and a run that was met before costs one dictionary lookup.
 Splitting is on ASCII white space only, which every such tokenizer treats as white space.
+A text of plain characters only is cut into the tokenizer's own words right away, of which
+there are far fewer than runs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ _open: dict[str, "RunEncoder"] = {}
 # and Latin letters that have one form only) can be cut into words here.
 _PLAIN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN_RUN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PLAIN_TEXT = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF \t\n\r\x0b\x0c]*")
+_PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")   # lower-cased
 
 
 def _byte_letters() -> dict[int, str]:
@@ -112,26 +114,10 @@ class RunEncoder:
             at = e
         return out
 
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        new: dict[bytes, bytes] = {}
-        rest: list[str] = []
-        cut_up: list[tuple[bytes, list[str]]] = []
-        known: dict[str, bytes | None] = {}
-        word_ids, plain, words_of, old = self.words.get, _PLAIN_RUN.fullmatch, _PLAIN_WORD.findall, self.memo.get
-        for r in runs:
-            ids = old(r)                            # of the old generation
-            if ids is not None:
-                new[r] = ids
-                continue
-            s = r.decode("utf-8")
-            if self.plain and "<|" not in s and plain(s):
-                words = words_of(s.lower())
-                cut_up.append((r, words))
-                for w in words:
-                    if w not in known:
-                        known[w] = word_ids(w)
-            else:
-                rest.append(s)
+    def _known_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of all given words of plain characters."""
+        get = self.words.get
+        known = {w: get(w) for w in words}
         unknown = [w for w, ids in known.items() if ids is None]
         for i in range(0, len(unknown), 2000):
             some = unknown[i:i + 2000]
@@ -139,15 +125,28 @@ class RunEncoder:
                 known[w] = ids
                 if len(w) <= MEMO_BYTES:
                     self.words.put(w, ids)
-        for r, words in cut_up:
-            new[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        if rest:
-            got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            new.update((s.encode(), array("I", e.ids).tobytes()) for s, e in zip(rest, got))
-        for r, v in new.items():
-            if len(r) <= MEMO_BYTES:
-                self.memo.put(r, v)
-        return new
+        return known
+
+    def _known_runs(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all given runs without white space, by the tokenizer itself."""
+        get = self.memo.get
+        known = {r: get(r) for r in runs}
+        unknown = [r for r, ids in known.items() if ids is None]
+        if unknown:
+            got = self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in unknown], add_special_tokens=False)
+            for r, e in zip(unknown, got):
+                known[r] = ids = array("I", e.ids).tobytes()
+                if len(r) <= MEMO_BYTES:
+                    self.memo.put(r, ids)
+        return known
+
+    def _parts(self, text: bytes) -> tuple[bool, list]:
+        """Whether all of ``text`` is plain, and its words if so, else its runs."""
+        if self.plain and b"<|" not in text:
+            s = text.decode("utf-8")
+            if _PLAIN_TEXT.fullmatch(s):
+                return True, _PLAIN_WORD.findall(s.lower())
+        return False, text.split()
 
     def encode_many(self, texts: list[bytes], group: int = 1 << 20) -> list[bytes]:
         """Ids of each text; unknown runs of a group of texts are encoded in one call."""
@@ -167,15 +166,10 @@ class RunEncoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= group):
                 size += len(texts[end])
                 end += 1
-            split = [t.split() for t in texts[at:end]]
-            get = self.memo.new.get
-            found = [[get(r) for r in runs] for runs in split]
-            unknown = {r for runs, f in zip(split, found) if None in f for r, v in zip(runs, f) if v is None}
-            new = self._learn(list(unknown)) if unknown else {}
-            for runs, f in zip(split, found):
-                if None in f:
-                    f = [new[r] if v is None else v for r, v in zip(runs, f)]
-                out.append(b"".join(f))
+            split = [self._parts(t) for t in texts[at:end]]
+            words = self._known_words(set().union(*(parts for plain, parts in split if plain)))
+            runs = self._known_runs(set().union(*(parts for plain, parts in split if not plain)))
+            out.extend(b"".join(map((words if plain else runs).__getitem__, parts)) for plain, parts in split)
             at = end
         return out
 
@@ -185,6 +179,11 @@ class RunEncoder:
         return b" ".join([tokens[i] for i in ids])
 
 
+def forget() -> None:
+    """Free this worker's encoders and memos, for steps that come after all encoding."""
+    _open.clear()
+
+
 def encoder(path: str) -> RunEncoder:
     """One encoder per file and Python worker."""
     if path not in _open:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_runs import encoder
+from .bpe_runs import encoder, forget
 from .common import ship, text_or_empty
 
 SHARD_BYTES = 12_000_000       # UTF-8 bytes of text in a shard, on average
@@ -129,6 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
                                              names=["_id", "_shard", "_ids", "_small"])
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()                        # the worker may have encoded before
         pdf = pdf.sort_values(["_id", "_ids"], kind="stable", na_position="last")
         ids = [np.frombuffer(x, dtype="<u2" if s else "<u4") for x, s in zip(pdf["_ids"], pdf["_small"])]
         got = np.array(pack_shard(ids, window), dtype=np.int64).reshape(-1, 5)
