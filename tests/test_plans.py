@@ -82,3 +82,34 @@ def test_day_partitions_are_pruned(spark, root):
     p = plan(df)
     assert "PartitionFilters: [isnotnull(_p_day_f2" in p
     assert df.count() == 8
+
+
+def test_appends_after_an_update_are_not_shuffled(spark, root):
+    led = small_ledger(spark, root)
+    led.update("t.x", {"v": "'b'"}, where="k < 10")
+    led.delete("t.x", "k = 20")
+    for i in range(3):
+        led.append("t.x", spark.range(200 + 10 * i, 210 + 10 * i).select(
+            F.col("id").alias("k"), F.lit("c").alias("v"), F.lit(0.0).alias("amount")))
+    led.append("t.x", spark.createDataFrame([(20, "again", 1.0)], SCHEMA))
+    df = led.read("t.x")
+    p = plan(df)
+    assert p.count("Window [") <= 2              # over the changes, for live rows and touched keys
+    commits = [r for r in led.hist.table_commits("t.x", led.cut(None, None)) if r.append_only and r.n_rows]
+    assert len(commits) == 5
+    got = {r.k: r.v for r in df.collect()}
+    want = {k: "b" if k < 10 else "a" for k in range(200)} | {k: "c" for k in range(200, 230)} | {20: "again"}
+    assert got == want
+
+
+def test_latest_and_gauge_aggregate_by_hashing(spark):
+    from tidemark.operators import metrics as MX
+    rows = [("a", dt.datetime(2024, 1, 1), 1, 1.0), ("a", dt.datetime(2024, 1, 1), 2, 2.0),
+            ("a", dt.datetime(2023, 1, 1), 9, 3.0), ("b", None, 1, 4.0), ("b", None, None, 5.0),
+            (None, dt.datetime(1960, 1, 1), -3, 6.0), (None, dt.datetime(1960, 1, 1), None, 7.0)]
+    df = spark.createDataFrame(rows, "s string, t timestamp, i bigint, v double")
+    latest = MX.latest_sample(df, ["s"], "t", "v", "i")
+    assert {(r.s, r.last_value) for r in latest.collect()} == {("a", 2.0), ("b", 4.0), (None, 6.0)}
+    gauge = MX.gauge_series(df, ["s"], "t", "v", "i", "1 hour")
+    for d in (latest, gauge):
+        assert "SortAggregate" not in plan(d) and "HashAggregate" in plan(d)

@@ -9,8 +9,11 @@ of one series.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US = 1_000_000
 
@@ -19,6 +22,22 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def newest(df: DataFrame, ts: str, tiebreak: str) -> Column:
+    """Sort value of a sample by (ts, tiebreak), NULLs first, for ``max_by``.
+
+    With a timestamp and an integer tie-break it is one decimal, microseconds times 2**65
+    plus the tie-break: a fixed-width buffer, so the aggregate runs by hashing and not by
+    sorting.  Other types are compared as a struct.
+    """
+    types = df.schema[ts].dataType, df.schema[tiebreak].dataType
+    if not (isinstance(types[0], (T.TimestampType, T.TimestampNTZType)) and isinstance(types[1], T.IntegralType)):
+        return F.struct(F.col(ts), F.col(tiebreak))
+
+    def wide(c: Column, null: int) -> Column:
+        return F.coalesce(c.cast("decimal(20,0)"), F.lit(Decimal(null)).cast("decimal(20,0)"))
+    return wide(micros(ts), -(1 << 61)) * F.lit(Decimal(1 << 65)) + wide(F.col(tiebreak), -(1 << 63) - 1)
+
+
 def with_bucket(df: DataFrame, ts: str, bucket_us: int, name: str = "_b") -> DataFrame:
     return df.withColumn(name, F.floor(micros(ts) / F.lit(bucket_us)).cast("long"))
 
@@ -55,7 +74,7 @@ def reset_aware_increase(df: DataFrame, series: list[str], ts: str, value: str,
     bucket's first one comes from the nearest earlier bucket that has any."""
     d = with_bucket(df, ts, bucket_us)
     last = (d.groupBy(*series, "_b")
-            .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(F.col(ts), F.col(tiebreak))))
+            .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), newest(d, ts, tiebreak)))
                  .alias("_last")))
     ws = Window.partitionBy(*series).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(ws)).drop("_last")

@@ -29,10 +29,8 @@ def latest_sample(samples: DataFrame, series: list[str], ts: str, value: str, ti
     """Last non-null value per series (``lastNotNull``); ties on ts broken by ``tiebreak``.
     A grouped ``max_by`` keeps one row per series per task before the shuffle."""
     s = _matchers(samples, matchers).where(F.col(value).isNotNull())
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    agg = s.groupBy(*series).agg(F.max_by(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")),
-                                          order).alias("_m"))
-    return agg.select(*series, F.col("_m.t").alias("last_ts"), F.col("_m.v").alias("last_value"))
+    return s.groupBy(*series).agg(F.max(ts).alias("last_ts"),
+                                  F.max_by(F.col(value), O.newest(s, ts, tiebreak)).alias("last_value"))
 
 
 def status(latest: DataFrame, value: str = "last_value", mapping=UP_DOWN_MAPPING,
@@ -53,7 +51,7 @@ def gauge_series(samples: DataFrame, series: list[str], ts: str, value: str, tie
     s = s.where(F.col(value).isNotNull())
     step_start = F.window(F.col(ts), step).start
     agg = (s.groupBy(*series, step_start.alias("step_start"))
-           .agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tiebreak))).alias("value"),
+           .agg(F.max_by(F.col(value), O.newest(s, ts, tiebreak)).alias("value"),
                 F.count(F.lit(1)).alias("n_samples")))
     return agg
 

@@ -1,11 +1,13 @@
 """Reading a versioned table: state at a cut, projection, row-level diff.
 
 State at a cut = base (compacted snapshot, if any)
-               + the leading run of append-only commits after it   (no shuffle)
-               + the latest change per key among the remaining commits
+               + all append-only commits after it, wherever they stand  (no shuffle)
+               + the latest change per key among the other commits
                  (one shuffle on the key, partial top-1 before it),
-minus the keys the remaining commits touched (anti join; broadcast only when
-the recorded row count of those commits is under the limit).
+minus the base and appended rows whose key was changed by a later commit (anti
+join; broadcast only when the recorded row count of the changing commits is
+under the limit).  An append-only commit holds keys absent before it, so it can
+follow a delete of a key but never supersede a live row.
 """
 
 from __future__ import annotations
@@ -79,16 +81,14 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
         return df.join(F.broadcast(ks), keys, "left_semi")
 
     data = [r for r in tail if r.n_rows > 0]
-    i = 0
-    while i < len(data) and data[i].append_only:
-        i += 1
-    prefix, rest = data[:i], data[i:]
+    appends = [r for r in data if r.append_only]
+    rest = [r for r in data if not r.append_only]
 
     parts = []
     if base is not None:
         parts.append(restrict(store.read_base(base, phys).select(cols)))
-    if prefix:
-        parts.append(restrict(store.read_changes(table, [r.commit_id for r in prefix], read_schema)
+    if appends:
+        parts.append(restrict(store.read_changes(table, [r.commit_id for r in appends], read_schema)
                               .select(cols)))
     stable = None
     for p in parts:
@@ -104,10 +104,13 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
     live = latest.where(F.col("_op") != "D")
     if stable is None:
         return live, schema
-    touched = latest.select(*keys)
+    touched = latest.select(*[F.col(k).alias(f"_t{k}") for k in keys], F.col("_seq").alias("_t_seq"))
     if sum(r.n_rows for r in rest) <= broadcast_rows:
         touched = F.broadcast(touched)
-    return stable.join(touched, keys, "left_anti").unionByName(live), schema
+    later = F.col("_seq") < F.col("_t_seq")
+    for k in keys:
+        later = later & (F.col(k) == F.col(f"_t{k}"))
+    return stable.join(touched, later, "left_anti").unionByName(live), schema
 
 
 def base_seq(hist: History, base) -> int:

@@ -45,6 +45,17 @@ def _led(spark, sf, variant="full"):
     return FX.ledger_for(spark, sf, variant)
 
 
+def _fresh_orders(spark, sf, name: str, below: int = 8):
+    """A ledger of its own holding the orders with k < ``below``, for queries that time a write."""
+    from tidemark.ledger import Ledger
+    orders = table(spark, sf, "orders").select(*FX.ORDERS_COLS)
+    led = Ledger.open(spark, scratch_path(spark, f"ledger-{name}"))
+    with led.transaction("main", commit_id="c1") as tx:
+        tx.create_table(ORDERS, orders.schema, keys=["o_orderkey"])
+        tx.append(ORDERS, orders.where(FX.kmod() < below))
+    return led, orders
+
+
 def _count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
@@ -167,7 +178,9 @@ def drop_then_as_of(spark, sf):
 
 @query("append_rows", f"SELECT {SIX}, 'I' AS change_op FROM orders WHERE {K} IN (6, 7)")
 def append_rows(spark, sf):
-    return _led(spark, sf).changes(ORDERS, "c2")
+    led, orders = _fresh_orders(spark, sf, "append", below=6)
+    led.append(ORDERS, orders.where(FX.kmod().isin(6, 7)), commit_id="w")
+    return led.changes(ORDERS, "w")
 
 
 @query("mirror_check", f"""
@@ -370,12 +383,24 @@ SELECT o_orderkey, CASE WHEN {K} = 8 THEN o_orderstatus ELSE 'X' END AS o_orders
        CASE WHEN {K} = 8 THEN 'I' ELSE 'U' END AS change_op
 FROM orders WHERE {K} IN (5, 6, 7, 8)""")
 def merge_upsert(spark, sf):
-    return _led(spark, sf).changes(ORDERS, "c3").select("o_orderkey", "o_orderstatus", "change_op")
+    led, orders = _fresh_orders(spark, sf, "merge")
+    led.merge(ORDERS, orders.where(FX.kmod().isin(5, 6, 7, 8)), on=["o_orderkey"],
+              update_set={"o_orderstatus": "'X'"}, commit_id="w")
+    return led.changes(ORDERS, "w").select("o_orderkey", "o_orderstatus", "change_op")
+
+
+@query("update_where", f"SELECT o_orderkey, 'Q' AS o_orderstatus, 'U' AS change_op FROM orders WHERE {K} = 0")
+def update_where(spark, sf):
+    led, _ = _fresh_orders(spark, sf, "update")
+    led.update(ORDERS, {"o_orderstatus": "'Q'"}, where="o_orderkey % 10 = 0", commit_id="w")
+    return led.changes(ORDERS, "w").select("o_orderkey", "o_orderstatus", "change_op")
 
 
 @query("delete_where", f"SELECT o_orderkey, 'D' AS change_op FROM orders WHERE {K} = 1")
 def delete_where(spark, sf):
-    return _led(spark, sf).changes(ORDERS, "c5").select("o_orderkey", "change_op")
+    led, _ = _fresh_orders(spark, sf, "delete")
+    led.delete(ORDERS, "o_orderkey % 10 = 1", commit_id="w")
+    return led.changes(ORDERS, "w").select("o_orderkey", "change_op")
 
 
 @query("uncommitted_hidden", f"""
