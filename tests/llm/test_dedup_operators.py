@@ -109,6 +109,30 @@ def test_near_duplicates_on_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """No text of a shared or missing id is lost, and no text goes because another of its id does."""
+    words = [[f"{c}{i}" for i in range(100)] for c in "abcdef"]
+
+    def text(k, *changed):
+        return " ".join("new" if i in changed else w for i, w in enumerate(words[k]))
+    rows = [(1, text(0)), (5, text(0, 3)), (5, text(1)), (5, text(2)), (9, text(2, 50)), (9, text(0, 99)),
+            (None, text(1, 7)), (None, text(3)), (None, text(3, 1)), (20, text(4)), (20, text(4).upper()),
+            (20, text(4)), (21, text(5)), (None, text(5)), (30, None), (30, "!"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.class_id, r.copy_of, r.n_copies, r.n_links, r.n_words)
+           for r in jaccard_join.near_classes(docs).collect()}
+    assert got == {(1, 1, 1, 1, 2, 100), (5, 1, 5, 1, 2, 100), (9, 1, 9, 1, 2, 100), (5, 5, 5, 1, 1, 100),
+                   (None, 5, None, 1, 1, 100), (9, 5, 9, 1, 1, 100), (None, None, None, 1, 1, 100),
+                   (20, 20, 20, 1, 0, 100), (21, 21, 21, 2, 0, 100), (None, 21, 21, 2, 0, 100),
+                   (30, 30, 30, 1, 0, 0), (None, None, None, 1, 0, 0)}
+    left = [(r.doc_id, (r.text or "").lower()) for r in jaccard_join.keep_representatives(docs).collect()]
+    nameless = [t for i, t in left if i is None and t]
+    assert len(nameless) == 1 and nameless[0] in (text(3), text(3, 1))
+    assert sorted((i, t) for i, t in left if i is not None) == sorted(
+        [(1, text(0)), (5, text(1)), (5, text(2)), (20, text(4)), (21, text(5)), (30, ""), (30, "!")])
+    assert left.count((None, "")) == 1
+
+
 def test_near_duplicates_in_a_large_group(spark):
     """Hundreds of edited copies span several blocks; no link and no class is lost."""
     rng = random.Random(5)

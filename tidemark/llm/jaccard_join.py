@@ -1,8 +1,9 @@
 """Similarity join on word 5-grams with Bayesian candidate pruning.
 
-1. Texts with the same words are one class; its smallest id represents it.
-2. MinHash signatures in bands propose candidates: representatives that agree in a band are
-   tied to the band's smallest one, and the components of these ties are areas outside of
+1. The unit is the word sequence, known by its digest: every row, whatever its id, belongs to
+   the digest of its text, and one text of each digest is examined.
+2. MinHash signatures in bands propose candidates: digests that agree in a band are
+   tied to the band's first one, and the components of these ties are areas outside of
    which no link is looked for.  At the threshold a pair is missed with probability
    (1 - t**ROWS)**BANDS, 5e-8 for t = 0.8.
 3. An area is cut into blocks by a hash, and every pair of blocks is one unit of work, so no
@@ -20,7 +21,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, text_or_empty
@@ -31,7 +32,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 TOLERANCE = 1e-9
 SLICE = 16                 # MinHash values compared at a time
-BLOCK = 128                # representatives in a block, on average
+BLOCK = 128                # digests in a block, on average
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(91)
 _MULT = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
@@ -166,7 +167,7 @@ def _groups_of_texts(texts: list[str], group_chars: int = 1 << 20):
 
 
 def _profiles(batches):
-    """(id, words, two digests of the word sequence, band keys) of every text."""
+    """(id, two hashes of the text, words, two digests of the word sequence, band keys) of every text."""
     for b in batches:
         counts, d1, d2, keys = [], [], [], []
         for group in _groups_of_texts(b.column("_text").to_pylist()):
@@ -186,8 +187,9 @@ def _profiles(batches):
         flat = pa.array(keys.reshape(-1), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, BANDS), pa.int32()), flat)
         yield pa.RecordBatch.from_arrays(
-            [b.column("_id"), pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(d1), pa.int64()),
-             pa.array(np.concatenate(d2), pa.int64()), lists], names=["id", "words", "d1", "d2", "bands"])
+            [b.column("_id"), b.column("_t1"), b.column("_t2"), pa.array(np.concatenate(counts), pa.int64()),
+             pa.array(np.concatenate(d1), pa.int64()), pa.array(np.concatenate(d2), pa.int64()), lists],
+            names=["id", "t1", "t2", "words", "d1", "d2", "bands"])
 
 
 def _sets(batches):
@@ -198,19 +200,19 @@ def _sets(batches):
             _, _, sh, off = _shingled(group)
             sigs.extend(s.tobytes() for s in min_hashes(sh, off))
             sets.extend(np.unique(sh[x:y]).tobytes() for x, y in zip(off[:-1], off[1:]))
-        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("area"), b.column("block"), b.column("blocks"),
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("area"), b.column("block"), b.column("blocks"),
                                           pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-                                         names=["rep", "area", "block", "blocks", "sig", "grams"])
+                                         names=["node", "area", "block", "blocks", "sig", "grams"])
 
 
 def _units(threshold: float, tolerance: float):
     """Work on runs of rows that share (area, lo, hi); rows arrive sorted by them."""
     def solve(rows: list[tuple]) -> list[tuple[int, int, int]]:
         lo, hi = rows[0][1], rows[0][2]
-        rep = np.array([r[3] for r in rows], dtype=np.int64)
+        node = np.array([r[3] for r in rows], dtype=np.int64)
         block = np.array([r[4] for r in rows])
-        order = np.argsort(rep, kind="stable")
-        rep, block = rep[order], block[order]
+        order = np.argsort(node, kind="stable")
+        node, block = node[order], block[order]
         sig = np.array([np.frombuffer(rows[k][5], dtype=np.uint32) for k in order])
         sets = [np.frombuffer(rows[k][6], dtype=np.uint64) for k in order]
         left = np.flatnonzero(block == lo)
@@ -218,9 +220,9 @@ def _units(threshold: float, tolerance: float):
         pairs = similar_pairs(sig, sets, left, right, threshold, tolerance)
         if not len(pairs):
             return []
-        links = np.bincount(pairs.reshape(-1), minlength=len(rep))
-        root = forest(pairs, len(rep))
-        return [(int(rep[k]), int(links[k]), int(rep[root[k]])) for k in np.flatnonzero(links)]
+        links = np.bincount(pairs.reshape(-1), minlength=len(node))
+        root = forest(pairs, len(node))
+        return [(int(node[k]), int(links[k]), int(node[root[k]])) for k in np.flatnonzero(links)]
 
     def run(batches):
         held: list[tuple] = []
@@ -238,71 +240,135 @@ def _units(threshold: float, tolerance: float):
 
 
 def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    frame = pd.DataFrame(rows, columns=["rep", "links", "hub"], dtype="int64")
+    frame = pd.DataFrame(rows, columns=["node", "links", "hub"], dtype="int64")
     return pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Class and links of every document under Jaccard similarity of word 5-grams.
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell the texts of one id apart."""
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
+
 
-    Returns one row per distinct id: the id column, ``class_id`` (smallest id among all
-    documents that links and copies connect), ``copy_of`` (smallest id with the same words in
-    the same order), ``n_copies`` (ids of that copy group), ``n_links`` (other copy groups at
-    the threshold or above) and ``n_words``.  Words are lower-cased runs of letters, digits and
-    underscores; a text of 1 to 4 words is one shingle; texts without words, nulls among
-    them, link to nothing and are copies of nothing.  Rows that repeat an id count once, with
-    the text whose digest is smallest.  Rows with a null id are left out: they cannot be named.
+def _classify(docs: DataFrame, threshold: float, tolerance: float, id_col: str,
+              text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, digests): all rows' keys, and the class of every digest with words.
+
+    ``texts`` has (id, t1, t2, words, d1, d2, n), a row for each distinct id and text, ``n`` rows
+    of the input.  ``digests`` has (d1, d2, rep, t1, t2, n_copies, class_id, n_links, first):
+    its smallest id (null if all are), the text of that id, its number of ids, the smallest
+    id and the links of its class, and whether it is the class's first digest.
     """
     ship(docs.sparkSession)
-    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"),
-                                                       text_or_empty(text_col).alias("_text"))
-    slim = cut(src.mapInArrow(_profiles, "id bigint, words bigint, d1 bigint, d2 bigint, bands array<bigint>"))
-    ids = slim.select("id", "words", "d1", "d2")
-    if slim.count() != ids.select("id").distinct().count():
-        ids = ids.groupBy("id").agg(F.min(F.struct("d1", "d2", "words")).alias("m")).select(
-            "id", "m.words", "m.d1", "m.d2")
-        slim = cut(slim.join(ids, ["id", "words", "d1", "d2"]).dropDuplicates(["id"]))
-        ids = slim.select("id", "words", "d1", "d2")
-    copies = cut(ids.where("words > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"),
-                                                               F.count(F.lit(1)).alias("n_copies")))
-    reps = slim.join(copies.select(F.col("rep").alias("id")), "id")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    tied = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = keyed.join(tied.select("key", "hub"), "key").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    t1, t2 = _text_keys(text_or_empty(text_col))
+    src = docs.select(F.col(id_col).cast("bigint").alias("_id"), t1.alias("_t1"), t2.alias("_t2"),
+                      text_or_empty(text_col).alias("_text"))
+    slim = cut(src.mapInArrow(_profiles, "id bigint, t1 bigint, t2 bigint, words bigint, d1 bigint, d2 bigint, "
+                                         "bands array<bigint>"))
+    texts = cut(slim.groupBy("id", "t1", "t2", "words", "d1", "d2").agg(F.count(F.lit(1)).alias("n")))
+    if slim.count() != texts.count():                      # repeated rows: one of each is examined
+        slim = cut(slim.dropDuplicates(["id", "t1", "t2"]))
+        src = src.dropDuplicates(["_id", "_t1", "_t2"])
+    members = texts.where("words > 0").groupBy("id", "d1", "d2").agg(F.min("t1").alias("t1"),
+                                                                    F.min_by("t2", "t1").alias("t2"))
+    copies = cut(members.groupBy("d1", "d2").agg(
+        F.min("id").alias("rep"), F.coalesce(F.min_by("t1", "id"), F.min("t1")).alias("t1"),
+        F.coalesce(F.min_by("t2", "id"), F.min("t2")).alias("t2"), F.count(F.lit(1)).alias("n_copies"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    shown = copies.select("node", "rep", F.col("t1").alias("r1"), F.col("t2").alias("r2"))
+    reps = slim.join(shown, slim["id"].eqNullSafe(shown["rep"]) & (slim["t1"] == shown["r1"]) &
+                     (slim["t2"] == shown["r2"]))
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    tied = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = keyed.join(tied.select("key", "hub"), "key").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     areas = cut(components(ties))
     sizes = areas.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     placed = (areas.join(sizes, "label")
               .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-              .select(F.col("id").alias("rep"), F.col("label").alias("area"), "blocks",
-                      F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    if slim.count() != src.count():                        # repeated ids: keep the chosen text of each
-        src = src.withColumn("_d", F.xxhash64("_text")).groupBy("_id").agg(
-            F.min_by("_text", "_d").alias("_text"))
-    texts = (src.join(placed, src["_id"] == placed["rep"])
-             .select("rep", "area", "block", "blocks", "_text")
-             .mapInArrow(_sets, "rep bigint, area bigint, block int, blocks int, sig binary, grams binary"))
+              .select(F.col("id").alias("node"), F.col("label").alias("area"), "blocks",
+                      F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+              .join(shown, "node"))
+    signed = (src.join(placed, src["_id"].eqNullSafe(placed["rep"]) & (src["_t1"] == placed["r1"]) &
+                       (src["_t2"] == placed["r2"]))
+              .select("node", "area", "block", "blocks", "_text")
+              .mapInArrow(_sets, "node bigint, area bigint, block int, blocks int, sig binary, grams binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = (texts.select("*", other.alias("other"))
+    units = (signed.select("*", other.alias("other"))
              .select("area", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "rep", "block", "sig", "grams"))
+                     "node", "block", "sig", "grams"))
     dealt = units.repartition("area", "lo", "hi").sortWithinPartitions("area", "lo", "hi")
-    found = cut(dealt.mapInArrow(_units(threshold, tolerance), "rep bigint, links bigint, hub bigint"))
-    per_rep = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    rep_class = copies.join(classes, copies["rep"] == classes["id"], "left").drop("id").join(per_rep, "rep", "left")
-    rep_class = rep_class.select("d1", "d2", "rep", "n_copies", F.coalesce("label", "rep").alias("class_id"),
-                                 F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return (ids.join(rep_class, ["d1", "d2"], "left")
-            .withColumn("rep", F.when(F.col("words") > 0, F.col("rep")))
+    found = cut(dealt.mapInArrow(_units(threshold, tolerance), "node bigint, links bigint, hub bigint"))
+    per_node = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    classes = components(found.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    linked = cut(copies.join(classes.withColumnRenamed("id", "node"), "node")
+                 .select("node", "label", "rep", "d1", "d2"))
+    order = F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "d1", "d2")
+    firsts = cut(linked.groupBy("label").agg(F.min(order).alias("_f"))
+                 .select("label", "_f.rep", "_f.d1", "_f.d2"))
+    named = linked.select("node", "label").join(
+        firsts.select("label", F.col("rep").alias("class_id"), F.col("d1").alias("f1"), F.col("d2").alias("f2")), "label")
+    digests = copies.join(named, "node", "left").join(per_node, "node", "left")
+    alone = F.col("label").isNull()
+    return texts, digests.select(
+        "d1", "d2", "rep", "t1", "t2", "n_copies", F.when(alone, F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (alone | ((F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")))).alias("first"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Class and links of every document under Jaccard similarity of word 5-grams.
+
+    Returns one row per distinct id and word sequence, null ids among them: the id column,
+    ``class_id`` (smallest id among all documents that links and copies connect; null if none
+    of them has an id), ``copy_of`` (smallest id with the same words in the same order),
+    ``n_copies`` (ids of that copy group, null counted as one), ``n_links`` (other copy groups
+    at the threshold or above) and ``n_words``.  Words are lower-cased runs of letters, digits
+    and underscores; a text of 1 to 4 words is one shingle; texts without words, nulls among
+    them, link to nothing and are copies of nothing.  An id with several word sequences has
+    a row, and maybe another class, for each.
+    """
+    texts, digests = _classify(docs, threshold, tolerance, id_col, text_col)
+    members = texts.select("id", "words", "d1", "d2").distinct()
+    return (members.join(digests.drop("t1", "t2"), ["d1", "d2"], "left")
             .select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
                     F.coalesce("rep", "id").alias("copy_of"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("words").alias("n_words")))
 
 
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_classes`` that have an id; documents without one count in them."""
+    return near_classes(docs, threshold, tolerance, id_col, text_col).where(F.col(id_col).isNotNull())
+
+
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; rows with a null id stay."""
-    out = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
-    gone = out.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    """One row of every class: of its smallest id, a null id only where no row has one.
+
+    Where that id has several texts in the class, the one with the smallest digest stays.
+    Texts without words are in no class, and all their rows stay.
+    """
+    texts, digests = _classify(docs, threshold, TOLERANCE, id_col, text_col)
+    texts = texts.where("words > 0")
+    chosen = digests.select("d1", "d2", "rep", "first", F.col("t1").alias("r1"), F.col("t2").alias("r2"))
+    stays = (F.col("first") & F.col("id").eqNullSafe(F.col("rep")) & (F.col("t1") == F.col("r1")) &
+             (F.col("t2") == F.col("r2")))
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias("_gone_id"), F.col("t1").alias("_gone_t1"), F.col("t2").alias("_gone_t2"))
+
+    t1, t2 = _text_keys(text_or_empty(text_col))
+    own = [F.col(id_col).cast("bigint"), t1, t2]
+
+    def same(of: DataFrame) -> Column:
+        return (own[0].eqNullSafe(of["_gone_id"])) & (own[1] == of["_gone_t1"]) & (own[2] == of["_gone_t2"])
+
+    gone = keys(texts.join(chosen, ["d1", "d2"]).where(~stays))
+    kept = docs.join(gone, same(gone), "left_anti")
+    repeated = keys(texts.where("n > 1"))
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, same(repeated), "left_semi")
+    one = several.withColumns(dict(zip(("_gone_id", "_gone_t1", "_gone_t2"), own))).dropDuplicates(
+        ["_gone_id", "_gone_t1", "_gone_t2"]).select(*docs.columns)
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(one)

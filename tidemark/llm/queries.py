@@ -17,7 +17,7 @@ from .bpe_codec import encode_decode
 from .common import table
 from .exact_dedup import exact_groups
 from .html_extract import extract_text
-from .jaccard_join import near_duplicates
+from .jaccard_join import near_classes
 from .license_scan import scan_licenses
 from .quality import score_quality
 from .seq_pack import pack_documents
@@ -65,7 +65,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
