@@ -118,6 +118,19 @@ def test_bm25_scores_against_the_formula():
             assert got[j] == pytest.approx(want, rel=1e-5)
 
 
+def test_bm25_query_scores_every_term_of_a_long_seed():
+    """The best neighbour shares only the seed's common terms, which are far from its heaviest."""
+    rare, common = np.arange(1000, 1040), np.arange(100)
+    docs = [np.concatenate([rare, common]), common, rare[:1]] + [np.concatenate([common[:50], [2000 + i]]) for i in range(30)]
+    index = seq_pack.Bm25Index(docs)
+    whole, some = index.query(0), index.query(0, 24)
+    assert np.allclose(whole, index.query(0, 1000)) and (whole > 0).all() and whole[1] > whole[2] and some[1] == 0
+    gone = np.zeros(len(docs), dtype=bool)
+    gone[[0, 2, 5]] = True
+    index.drop(gone)
+    assert np.allclose(index.query(0), np.where(gone, 0, whole))
+
+
 def test_packing_puts_related_documents_together():
     rng = np.random.default_rng(2)
     topics = [rng.integers(1000 * k, 1000 * k + 300, (8, 100)) for k in range(6)]

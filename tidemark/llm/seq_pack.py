@@ -22,7 +22,6 @@ from .bpe_runs import encoder, forget
 from .common import ship, text_or_empty
 
 SHARD_BYTES = 12_000_000       # UTF-8 bytes of text in a shard, on average
-QUERY_TERMS = 24               # a seed asks for its heaviest terms
 K1, B = 1.2, 0.75
 
 
@@ -44,14 +43,15 @@ class Bm25Index:
         impact = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
         self.own = np.split(impact, np.cumsum(sizes)[:-1]) if n else []
         order = np.argsort(term, kind="stable")
+        self.gone = np.zeros(n, dtype=bool)
         self.doc, self.impact = doc[order].astype(np.int32), impact[order].astype(np.float32)
         self.begin = np.concatenate(([0], np.cumsum(self.df)))
         self.n = n
 
-    def query(self, seed: int, n_terms: int = QUERY_TERMS) -> np.ndarray:
-        """Scores of all documents for the heaviest terms of document ``seed``."""
+    def query(self, seed: int, n_terms: int | None = None) -> np.ndarray:
+        """Scores of all documents left for all terms of document ``seed``, or its ``n_terms`` heaviest."""
         terms = self.terms[seed]
-        if len(terms) > n_terms:
+        if n_terms is not None and len(terms) > n_terms:
             terms = terms[np.argpartition(-self.own[seed], n_terms - 1)[:n_terms]]
         if not len(terms):
             return np.zeros(self.n)
@@ -59,6 +59,13 @@ class Bm25Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]),
                            weights=np.concatenate([self.impact[s] for s in spans]), minlength=self.n)
 
+    def drop(self, gone: np.ndarray) -> None:
+        """Take documents out of the postings; the weights of the others stay as they are."""
+        keep = ~gone[self.doc]
+        self.begin = np.concatenate(([0], np.cumsum(keep)))[self.begin]
+        self.doc, self.impact = self.doc[keep], self.impact[keep]
+        self.gone = gone.copy()
+
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard's documents."""
@@ -89,6 +96,8 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
                 return pieces
             seed = cursor
             place(seed)
+        if 4 * np.count_nonzero(used & ~index.gone) >= np.count_nonzero(~index.gone):
+            index.drop(used)
         score = index.query(seed)
         score[used] = 0
         near = np.flatnonzero(score > 0)
