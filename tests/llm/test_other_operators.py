@@ -99,6 +99,13 @@ def test_blocks_of_broken_markup():
     assert html_extract.blocks_of("<p a=\"" * 300)[0:1] is not None
 
 
+def test_long_attribute_values_are_no_text():
+    for q in "\"'":
+        value = ("<p>leaked > words " * 6000)[:100_000]
+        got = html_extract.blocks_of(f"<article data-x={q}{value}{q}><p>main words</p></article>")
+        assert [b.text for b in got] == ["main words"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     m = html_extract.BlockLabeller(rng)

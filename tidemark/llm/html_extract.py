@@ -46,7 +46,7 @@ PATH_DIM, WORD_DIM, COUNTS = 192, 24, 6
 EMBED, HIDDEN = 32, 20
 SAMPLE_PAGES, SAMPLE_BYTES = 240, 200_000    # pages learnt from at most, and bytes of one of them
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"""
-                  r"""((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+[^>]*)>""", re.S)
+                  r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
