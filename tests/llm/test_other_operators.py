@@ -183,6 +183,21 @@ def test_licences_found_in_texts_and_lines(spark):
     assert license_scan.scan_licenses(empty_like(docs)).count() == 0
 
 
+def test_licences_of_whole_texts_and_headers(spark):
+    folder = "/usr/share/common-licenses/"
+    cases = [("x\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not", ["Apache-2.0"])]
+    cases += [(text, [lic]) for lic, _, text in license_scan.HEADERS if lic in ("AGPL-3.0", "MPL-2.0")]
+    for lic, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"),
+                      ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(folder + name):
+            with open(folder + name) as f:
+                cases.append((f.read(), [lic]))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    for r in license_scan.scan_licenses(docs).collect():
+        assert set(cases[r.doc_id][1]) <= set(r.licenses), r.doc_id
+        assert r.unit == ("text" if r.doc_id else "line")
+
+
 # Quality
 
 def test_quality_on_held_out_rows(spark):

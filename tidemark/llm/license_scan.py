@@ -76,6 +76,54 @@ required.
 software.
 3. This notice may not be removed or altered from any source distribution."""),
 )
+# Digests of the canonical forms of whole texts, with and without their appendix.
+DIGESTS = (
+    ("Apache-2.0", "permissive", "13cd6c993e1e89d29c4ef14d1970035e8449fec358420472ef160e0eeafd4e41"),
+    ("Apache-2.0", "permissive", "6e5156b87da1d881c8a1d56d56de5c68d93225e66ba369f34f48896e525d5b6c"),
+    ("Apache-2.0", "permissive", "9d754c7de3e34d52666ad6d24edf8823aad93f91ba009a64493fccb4696f0df0"),
+    ("Apache-2.0", "permissive", "c849e5a260736a753fd33e4db1341c99ce43e2a53fa0fb3b5b9d2f558cfce56e"),
+    ("Apache-2.0", "permissive", "e0b640e5255156791fa16805ec3d3a6bd85bb30e43c8c48ed5d67231df75c85e"),
+    ("Apache-2.0", "permissive", "e13391f0ba6f2a26145a81d48d81eecd21fb3999bebf369b8eda217751375cc2"),
+    ("BSD-2-Clause", "permissive", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2"),
+    ("BSD-2-Clause", "permissive", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-3-Clause", "permissive", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "permissive", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+    ("CC0-1.0", "public-domain", "bcf1ca6bfc638eb154167518097e0e35e99b24f6b9bb4b2a6cb9b919bfda843a"),
+    ("GPL-2.0", "copyleft", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-2.0", "copyleft", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0", "copyleft", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-3.0", "copyleft", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("GPL-3.0", "copyleft", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("GPL-3.0", "copyleft", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee"),
+    ("GPL-3.0", "copyleft", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("LGPL-3.0", "copyleft", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "copyleft", "08978d4dbcdf8773027f972cfd1aba21fe94904fc0194fcf2cf58ee987701793"),
+    ("MPL-2.0", "copyleft", "8c426530c964aaf311bfbb5e5704430287658bcfea3fd0c5eec2610fa065565a"),
+)
+# Standard headers, whole; the one of the GNU licences by name and version.
+_GNU = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as
+published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."""
+_GNU_END = ("", """ You should have received a copy of the GNU {0} along with this program. If not, see
+<https://www.gnu.org/licenses/>.""", """ You should have received a copy of the GNU {0} along with this program. If not,
+see <http://www.gnu.org/licenses/>.""")
+HEADERS = tuple((lic, "copyleft", (_GNU + end).format(name, version)) for lic, name, version in (
+    ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+    ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"))
+    for end in _GNU_END) + (
+    ("MPL-2.0", "copyleft", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a
+copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("MPL-2.0", "copyleft", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a
+copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public"),
+    ("Apache-2.0", "permissive", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+) + tuple(("Apache-2.0", "permissive", f"""Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+this file except in compliance with the License. You may obtain a copy of the License at
+{scheme}://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.""") for scheme in ("http", "https"))
 TITLES = {"MIT": ("", "MIT License\n"), "ISC": ("", "ISC License\n"), "Zlib": ("", "zlib License\n")}
 
 _COPYRIGHT = (r"^[\s\p{Punct}]*(copyright\b|\(c\)\s*\d{4}|©|all rights reserved[\s\p{Punct}]*$).*")
@@ -105,9 +153,11 @@ def known_licenses(spark: SparkSession) -> DataFrame:
            for subject in SUBJECTS for verb in VERBS for the in ("", "the ", "a ")]
     raw += [(lic, family, f"spdx license identifier {lic}") for lic, family, _ in NAMES]
     raw += [(lic, family, title + text) for lic, family, text in TEXTS for title in TITLES[lic]]
+    raw += HEADERS
     frame = spark.createDataFrame(raw, "license string, family string, text string")
     whole = canonical_units(F.col("text"))[0]["digest"]
-    return frame.select("license", "family", whole.alias("digest")).dropDuplicates(["digest"])
+    fixed = spark.createDataFrame(list(DIGESTS), "license string, family string, digest string")
+    return frame.select("license", "family", whole.alias("digest")).unionByName(fixed).dropDuplicates(["digest"])
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
