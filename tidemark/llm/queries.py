@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe_codec import encode_decode
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_groups
 from .html_extract import extract_text
 from .jaccard_join import near_classes
 from .license_scan import scan_licenses
+from .ngram_lm import score_texts
 from .quality import score_quality
 from .seq_pack import pack_documents
 from .shard_pack import shard_documents
+from .spelling import spelling_variants
 from .url_filter import UNWANTED_HOSTS, filter_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,9 +96,27 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of nine tenths of them; a null id is held out."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    out = score_texts(table(spark, sf_dir, "documents"), held_out)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the longer words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_url_filter, op2_html_extract, op3_bpe_codec, op4_exact_dedup, op5_sharding, op6_jaccard_join,
-             op7_license_scan, op8_packing, op9_quality, op10_nearest)
+             op7_license_scan, op8_packing, op9_quality, op10_nearest, op11_lm_scoring, op12_spelling_variants,
+             op13_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -128,7 +149,36 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+_OP13 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k))
+  GROUP BY ALL),
+sums AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM grams WHERE f >= 10),
+inner2 AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM often WHERE k = 3)
+  GROUP BY ALL),
+cuts AS (
+  SELECT o.lang, o.phrase, o.f AS a, c, array_to_string(w[1:c], ' ') AS p1, array_to_string(w[c + 1:o.k], ' ') AS p2
+  FROM often o LEFT JOIN inner2 i ON i.lang = o.lang AND i.phrase = o.phrase, (VALUES (1), (2)) AS cs(c)
+  WHERE o.k > 1 AND c < o.k AND (i.longer IS NULL OR o.k = 3 OR 100 * i.longer < 50 * o.f)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = p1 JOIN often y ON y.lang = cuts.lang AND y.phrase = p2),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sums USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators are tested against brute force, round trips or held-out rows."""
-    return {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4}
+    return {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4, "op13_collocations": _OP13}
