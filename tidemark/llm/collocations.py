@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship, text_or_empty
 from .text_hash import mix, span_hashes
-from .word_blocks import (byte_set, entries, expand, make_block, pack_ints, pack_sorted, pack_words, squeeze,
-                          unpack_ints, unpack_sorted, unpack_words)
+from .word_blocks import (byte_set, entries, expand, make_block, pack_ints, pack_sorted, pack_words, rows_of,
+                          squeeze, unpack_ints, unpack_sorted, unpack_words)
 
 BREAKS = byte_set(b".,;:!?", range(0x0A, 0x0E))
 SEPARATORS = byte_set(b" \t", b".,;:!?", range(0x0A, 0x0E))
 MAX_WORDS = 3
-BLOCK_BYTES = 16 << 20         # text of a block
-SHARD_GRAMS = 4_000_000        # fingerprints sent to a shard, on average
+BLOCK_BYTES = 6 << 20          # text of a block
+SHARD_GRAMS = 2_000_000        # fingerprints sent to a shard, on average
+SPELLED_ROWS = 20_000          # phrases in an Arrow batch
 FINGERPRINT_BITS = 48
 
 # floor(10^6 a a / (l r)) for counts of up to 15 digits: the products have up to 36
@@ -74,7 +75,7 @@ def gram_prints(numbers: np.ndarray, hashes: np.ndarray, context: np.ndarray, se
                 whole = whole.copy()
                 whole[n - 1:] &= numbers[:len(numbers) - n + 1] > 0
                 whole[:n - 1] = False
-            end = np.flatnonzero(whole & counted)
+            end = np.flatnonzero(whole & counted).astype(np.int32)
             raw = (sums[end + 1] - sums[end + 1 - n]) * undo[end + 1 - n]
             out.append((end, mix(raw + np.uint64(seed * MAX_WORDS + n) * np.uint64(_BASE)) >> np.uint64(64 - bits)))
     return out
@@ -98,7 +99,6 @@ class _Source:
         """Texts, numbers of words and counts of the n-grams whose fingerprint is flagged."""
         texts, sizes, counts = [], [], []
         wanted = self.prints[flags]
-        prefix = np.zeros(len(self.numbers), dtype=np.int64)      # number of the phrase that ends here
         for n, (end, prints) in enumerate(self.grams, start=1):
             if len(wanted):
                 at = np.minimum(np.searchsorted(wanted, prints), len(wanted) - 1)
@@ -177,7 +177,7 @@ def phrase_counts(docs: DataFrame, min_count: int, text_col: str = "text", lang_
 
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 s = _Source(row["lang"], row["words"], row["numbers"], row["context"], bits)
                 at = s.shard_bounds(n_shards, bits)
                 shard = np.flatnonzero(np.diff(at))
@@ -204,7 +204,7 @@ def phrase_counts(docs: DataFrame, min_count: int, text_col: str = "text", lang_
 
     def spell(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 s = _Source(row["lang"], row["words"], row["numbers"], row["context"], bits)
                 at = s.shard_bounds(n_shards, bits)
                 flags = np.zeros(len(s.prints), dtype=bool)
@@ -213,10 +213,13 @@ def phrase_counts(docs: DataFrame, min_count: int, text_col: str = "text", lang_
                     got = np.unpackbits(np.frombuffer(expand(a["flags"]), dtype=np.uint8))
                     flags[lo:hi] = got[:hi - lo].astype(bool)
                 text, k, count = s.phrases(flags)
-                if len(text):
+                del s
+                for i in range(0, len(text), SPELLED_ROWS):
+                    some = text[i:i + SPELLED_ROWS].cast(pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(text), pa.string()), text.cast(pa.binary()).cast(pa.string()),
-                         pa.array(k, pa.int32()), pa.array(count, pa.int64())], names=["lang", "phrase", "k", "f"])
+                        [pa.array([row["lang"]] * len(some), pa.string()), some,
+                         pa.array(k[i:i + SPELLED_ROWS], pa.int32()), pa.array(count[i:i + SPELLED_ROWS], pa.int64())],
+                        names=["lang", "phrase", "k", "f"])
 
     spelled = (blocks.select("block", "lang", "words", "numbers", "context").join(answers, "block")
                .mapInArrow(spell, "lang string, phrase string, k int, f bigint"))

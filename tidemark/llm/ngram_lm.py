@@ -33,13 +33,13 @@ from .common import cut, ship, text_or_empty
 from .elias_fano import EliasFano
 from .text_hash import mix
 from .word_blocks import (binary_array, byte_set, entries, expand, make_block, pack_ints, pack_sorted, pack_words,
-                          squeeze, unpack_ints, unpack_sorted, unpack_words)
+                          rows_of, squeeze, unpack_ints, unpack_sorted, unpack_words)
 
 SEPARATORS = byte_set(b" ", range(0x09, 0x0E))
 ADD = 0.1                      # pseudo count of every word and of an unknown one
 M2, M3 = 200.0, 3.0            # weight of the shorter context
 NODE_COUNT = 1_000_000         # positions of a context word beyond which it is told apart by the word before
-BLOCK_BYTES = 16 << 20         # text of a block
+BLOCK_BYTES = 8 << 20          # text of a block
 SHARD_WORDS = 1_000_000        # entries of word lists sent to a shard of the vocabulary, on average
 SHARD_POSITIONS = 3_000_000    # positions sent to a trie's shard, on average
 STEP, DEEPEST = 4096, 65535    # log10 probabilities are kept in steps of 1/4096, down to -16
@@ -283,7 +283,7 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 p = _Positions(row)
                 words = p.words(row["words"])
                 counts = p.training(len(words))
@@ -339,7 +339,7 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
     def base(batches):
         for batch in batches:
             parts = []
-            for row in batch.drop_columns(["docs"]).to_pylist():
+            for row in rows_of(batch.drop_columns(["docs"])):
                 p, total, _ = look_up(row)
                 log1 = log_p1(total, train_tokens, types)
                 slot = p.numbers[p.at]
@@ -355,7 +355,7 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
 
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 p, total, ids = look_up(row)
                 after = p.inside > 0
                 at, owner = p.at[after], p.owner[after]

@@ -106,6 +106,12 @@ def entries(raw: bytes, separators: np.ndarray, limit: int = ENTRY_BYTES) -> Ite
         at = end
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: each may hold a block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 @dataclass
 class Block:
     """``numbers[i]`` is 0 for a break and else 1 + the place in ``words``, most frequent first."""
