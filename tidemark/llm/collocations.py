@@ -32,6 +32,7 @@ BLOCK_BYTES = 6 << 20          # text of a block
 SHARD_GRAMS = 2_000_000        # fingerprints sent to a shard, on average
 SPELLED_ROWS = 20_000          # phrases in an Arrow batch
 FINGERPRINT_BITS = 48
+RANK_PARTS = 64                # parts of a language that are ranked by themselves first
 
 # floor(10^6 a a / (l r)) for counts of up to 15 digits: the products have up to 36
 SCORE = ("cast((cast(a AS decimal(15,0)) * cast(a AS decimal(15,0)) * cast(1000000 AS decimal(7,0))) "
@@ -262,7 +263,12 @@ def collocations(docs: DataFrame, min_count: int = 10, inside_pct: int = 50, top
     worst = (parts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "a")
              .agg(F.min(F.struct("score", "c", "l", "r")).alias("m"))
              .select("lang", "phrase", "a", "m.l", "m.r", "m.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = worst.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # a language may hold most phrases: its first ones are found in parts, and among those in all
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    part = Window.partitionBy("lang", "part").orderBy(*order)
+    some = (worst.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+            .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank", "part"))
+    best = (some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+            .where(F.col("rank") <= top))
     return best.join(sums, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r",
                                           "n", "score")
