@@ -41,7 +41,7 @@ M2, M3 = 200.0, 3.0            # weight of the shorter context
 NODE_COUNT = 1_000_000         # positions of a context word beyond which it is told apart by the word before
 BLOCK_BYTES = 8 << 20          # text of a block
 SHARD_WORDS = 1_000_000        # entries of word lists sent to a shard of the vocabulary, on average
-SHARD_POSITIONS = 3_000_000    # positions sent to a trie's shard, on average
+SHARD_POSITIONS = 1_500_000    # positions sent to a trie's shard, on average
 STEP, DEEPEST = 4096, 65535    # log10 probabilities are kept in steps of 1/4096, down to -16
 
 _BUCKET = np.uint64(40)        # bits of a word number below the bucket
@@ -83,7 +83,7 @@ class NgramTrie:
     def build(n_nodes: int, log1: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray,
               m2: float = M2, m3: float = M3) -> bytes:
         """Trie of training positions: node ``v``, word ``u`` before it (-1: none), next word ``w``."""
-        n_words = len(log1)
+        n_words, v = len(log1), v.astype(np.int64)
         pairs, where, c2 = np.unique(v * n_words + w, return_inverse=True, return_counts=True)
         of = pairs // max(n_words, 1)
         total = np.bincount(v, minlength=n_nodes)
@@ -91,12 +91,12 @@ class NgramTrie:
         q2 = quantise(np.log10((c2 + m2 * 10.0 ** log1[pairs - of * n_words]) / (total[of] + m2)))
         back2 = quantise(np.log10(m2 / (total + m2)))
         long = u >= 0
-        rank = (where - first[v])[long]
+        rank, where = (where - first[v])[long], where[long]
         contexts, ctx, cc = np.unique((v * n_words + u)[long], return_inverse=True, return_counts=True)
         width = np.diff(first)[contexts // max(n_words, 1)]
         base = np.concatenate(([0], np.cumsum(width)))
         triples, pick, c3 = np.unique(base[ctx] + rank, return_index=True, return_counts=True)
-        q3 = quantise(np.log10((c3 + m3 * 10.0 ** restore(q2[where[long][pick]])) / (cc[ctx[pick]] + m3)))
+        q3 = quantise(np.log10((c3 + m3 * 10.0 ** restore(q2[where[pick]])) / (cc[ctx[pick]] + m3)))
         back3 = quantise(np.log10(m3 / (cc + m3)))
         grid = n_nodes * n_words + 1
         return b"".join((np.array([n_nodes, n_words, len(pairs), len(contexts)], dtype="<i8").tobytes(),
@@ -107,10 +107,10 @@ class NgramTrie:
 
     def score(self, log1: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of every word ``w`` after ``u v`` (-1: no word before ``v``)."""
-        out, chunk = np.empty(len(v)), 1 << 18
+        out, chunk = np.empty(len(v)), 1 << 17
         for at in range(0, len(v), chunk):
             s = slice(at, at + chunk)
-            out[s] = self._score(log1, v[s], u[s], w[s])
+            out[s] = self._score(log1, *(x[s].astype(np.int64) for x in (v, u, w)))
         return out
 
     def _score(self, log1, v, u, w):
@@ -241,6 +241,10 @@ def log_p1(count: np.ndarray, train_tokens: int, types: int) -> np.ndarray:
     return np.log10((count + ADD) / (train_tokens + ADD * (types + 1)))
 
 
+def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.searchsorted(among, values).astype(np.int32)
+
+
 class _Shard:
     """All positions of some contexts and the trie of those in training texts."""
 
@@ -251,10 +255,10 @@ class _Shard:
         self.words, first = np.unique(np.concatenate(words), return_index=True)
         self.counts = np.concatenate([unpack_ints(x) for x in col["counts"]])[first].astype(np.int64)
         self.owners = [unpack_sorted(x).astype(np.int64) for x in col["owners"]]
-        self.v = np.concatenate([np.searchsorted(self.nodes, n)[unpack_ints(x)] for n, x in zip(nodes, col["v"])])
+        self.v = np.concatenate([_places(self.nodes, n)[unpack_ints(x)] for n, x in zip(nodes, col["v"])])
         u, w = [], []
         for n, x, y in zip(words, col["u"], col["w"]):
-            place = np.append(np.searchsorted(self.words, n), -1)
+            place = np.append(_places(self.words, n), np.int32(-1))
             u.append(place[unpack_ints(x).astype(np.int64) - 1])      # 0 is none
             w.append(place[unpack_ints(y)])
         self.u, self.w = np.concatenate(u), np.concatenate(w)
@@ -355,7 +359,7 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
 
     def send(batches):
         for batch in batches:
-            for row in rows_of(batch):
+            for row in rows_of(batch.drop_columns(["docs"])):
                 p, total, ids = look_up(row)
                 after = p.inside > 0
                 at, owner = p.at[after], p.owner[after]
@@ -383,12 +387,14 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
                         "w": [pack_ints(place[w[mine]])],
                         "held": [squeeze(np.packbits(p.held[owner[mine]]))]})
 
-    sent = known.drop("docs").mapInArrow(
+    sent = known.mapInArrow(                                # the same columns as below: one shuffle serves both
         send, "shard bigint, block bigint, nodes binary, words binary, counts binary, owners binary, v binary, "
               "u binary, w binary, held binary")
 
     def score(table: pa.Table) -> pa.Table:
         shard = _Shard(table, train_tokens, types)
+        blocks_, shards_ = table.column("block"), table.column("shard")
+        del table
         log = NgramTrie(shard.trie).score(shard.log1, shard.v, shard.u, shard.w)
         owners, sums, at = [], [], 0
         for o in shard.owners:
@@ -396,8 +402,8 @@ def _scored(docs, held_out, text_col, id_col, block_bytes, shard_words, shard_po
             owners.append(pack_sorted(o[first].astype(np.uint64)))
             sums.append(np.add.reduceat(log[at:at + len(o)], first).tobytes())
             at += len(o)
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"),
-                         "owners": pa.array(owners, pa.binary()), "sums": pa.array(sums, pa.binary())})
+        return pa.table({"block": blocks_, "shard": shards_, "owners": pa.array(owners, pa.binary()),
+                         "sums": pa.array(sums, pa.binary())})
 
     sums = (sent.repartition(n_shards, "shard").groupBy("shard")
             .applyInArrow(score, "block bigint, shard bigint, owners binary, sums binary")
