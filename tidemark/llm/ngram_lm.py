@@ -108,12 +108,14 @@ class NgramTrie:
     def score(self, log1: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of every word ``w`` after ``u v`` (-1: no word before ``v``)."""
         out, chunk = np.empty(len(v)), 1 << 17
+        order = np.argsort(v.astype(np.int64) * self.n_words + u)    # neighbours in the levels, one after the other
+        first = self.first.access(np.arange(self.n_nodes))
         for at in range(0, len(v), chunk):
-            s = slice(at, at + chunk)
-            out[s] = self._score(log1, *(x[s].astype(np.int64) for x in (v, u, w)))
+            s = order[at:at + chunk]
+            out[s] = self._score(log1, first, *(x[s].astype(np.int64) for x in (v, u, w)))
         return out
 
-    def _score(self, log1, v, u, w):
+    def _score(self, log1, first, v, u, w):
         pair = self.pairs.find(v * self.n_words + w)
         log = restore(self.back2[v]) + log1[w]
         seen = pair >= 0
@@ -124,7 +126,7 @@ class NgramTrie:
         known = ctx >= 0
         triple = np.full(len(v), -1, dtype=np.int64)
         both = known & seen
-        triple[both] = self.triples.find(self.base.access(ctx[both]) + pair[both] - self.first.access(v[both]))
+        triple[both] = self.triples.find(self.base.access(ctx[both]) + pair[both] - first[v[both]])
         log[known] += restore(self.back3[ctx[known]])
         hit = triple >= 0
         log[hit] = restore(self.q3[triple[hit]])
