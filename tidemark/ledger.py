@@ -19,7 +19,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,25 @@ class Ledger:
                              self.broadcast_rows)
 
     def read(self, table: str, ref: str | None = "main", commit: str | None = None, ts=None,
-             days: tuple | None = None) -> DataFrame:
+             days: tuple | None = None, where: dict | None = None) -> DataFrame:
         """Table as of a ref head, a commit, or a time (``TIMESTAMP AS OF``).
 
-        ``days=(lo, hi)`` prunes day partitions (inclusive) of a table
-        partitioned by ``("day", col)`` before the scan.
+        ``where`` maps source columns to a value or to bounds ``(low, high)``, both inclusive,
+        None for an open end.  Of the table's partition transforms (day, identity, truncate,
+        bucket) each one on such a column prunes the scan by a predicate derived from it.
+        ``days=(lo, hi)`` prunes day partitions (inclusive) of a table partitioned by
+        ``("day", col)`` before the scan.
         """
         st, schema = self.state(table, ref, commit, ts)
+        for col, bounds in (where or {}).items():
+            f = schema.field(col)
+            for cond in V.partition_predicates(schema, f, bounds):
+                st = st.where(cond)
+            lo, hi = bounds if isinstance(bounds, tuple) else (bounds, bounds)
+            if lo is not None:
+                st = st.where(F.col(f.phys) >= F.lit(lo).cast(f.type))
+            if hi is not None:
+                st = st.where(F.col(f.phys) <= F.lit(hi).cast(f.type))
         if days is not None:
             pcols = [p for p in V.partition_columns(schema) if p[0].startswith("_p_day_")]
             if not pcols:
@@ -163,27 +175,33 @@ class Ledger:
     def diff(self, table: str, old: dict, new: dict) -> DataFrame:
         """Row-level diff between two versions, each ``dict(ref=, commit=, ts=)``.
 
-        Compares the columns both versions have.  Only keys that some commit between
-        the two versions touched can differ; when the commit log says those commits
-        hold at most ``broadcast_rows`` change rows, both states are built for those
-        keys only (broadcast semi join before the window), so the diff costs the size
-        of the change, not of the table.
+        Columns are matched by field id, over the union of both versions' columns: added,
+        dropped and renamed ones show.  A table with keys gives added, removed and changed
+        rows (``row_diff``); one without gives added and removed rows with their multiplicity
+        (``multiset_diff``).  Only rows that some commit between the two versions touched can
+        differ; when the commit log says those commits hold at most ``broadcast_rows`` change
+        rows, both states are built for those keys or row ids only (broadcast semi join before
+        the window), so the diff costs the size of the change, not of the table.  Across a
+        dropped column all rows are compared.
         """
         cut_o, cut_n = self.cut(**old), self.cut(**new)
         so = self.hist.table_commits(table, cut_o)[-1].schema
         sn = self.hist.table_commits(table, cut_n)[-1].schema
-        if tuple(so.keys) != tuple(sn.keys) or not sn.keys:
+        if so.key_phys != sn.key_phys:
             raise LedgerError("diff needs the same identity columns on both sides")
-        keys = list(sn.keys)
-        touched = self._touched_keys(table, cut_o, cut_n, keys)
+        gone = {f.id for f in so.fields} - {f.id for f in sn.fields}
+        came = {f.id for f in sn.fields} - {f.id for f in so.fields}
+        # a column that went differs in rows that no commit touched; one that came is NULL there
+        whole = gone or (came and cut_o not in self.hist.lineage(cut_n))
+        touched = None if whole else self._touched_keys(table, cut_o, cut_n)
         a, _ = V.table_state(self.store, self.hist, table, cut_o, self.broadcast_rows, only_keys=touched)
         b, _ = V.table_state(self.store, self.hist, table, cut_n, self.broadcast_rows, only_keys=touched)
-        a, b = V.to_logical(a, so), V.to_logical(b, sn)
-        cols = [n for n in so.names if sn.has(n) and n not in keys]
-        return V.row_diff(a, b, keys, cols)
+        a, b = (d.select("*", *[F.lit(None).cast(f.type).alias(f.phys) for f in s.fields if f.phys not in d.columns])
+                for d, s in ((a, so), (b, sn)))
+        return (V.row_diff if sn.keys else V.multiset_diff)(a, b, so, sn)
 
-    def _touched_keys(self, table: str, cut_a: str, cut_b: str, keys: list[str]):
-        """Keys changed on either side since the common ancestor, or None when
+    def _touched_keys(self, table: str, cut_a: str, cut_b: str):
+        """Physical keys (or row ids) changed on either side since the common ancestor, or None when
         there are too many to broadcast (or the table was re-created in between)."""
         la, lb = set(self.hist.lineage(cut_a)), set(self.hist.lineage(cut_b))
         side = []
@@ -200,13 +218,13 @@ class Ledger:
             if not mine:
                 continue
             phys = V.physical_schema([r.schema for r in recs])
-            schema = recs[-1].schema
             ch = self.store.read_changes(table, [r.commit_id for r in mine], phys.add("commit_id", "string"))
-            k = ch.select(*[F.col(schema.field(x).phys).alias(x) for x in keys])
+            k = ch.select(*recs[-1].schema.key_phys)
             out = k if out is None else out.unionByName(k)
         if out is None:                      # nothing changed in between
-            struct = side[1][0][-1].schema.struct()
-            return self.spark.createDataFrame([], T.StructType([struct[k] for k in keys]))
+            recs = side[1][0]
+            phys = V.physical_schema([r.schema for r in recs])
+            return self.spark.createDataFrame([], T.StructType([phys[k] for k in recs[-1].schema.key_phys]))
         return out
 
     def tables(self, namespace: str | None = None, ref: str | None = "main") -> list[str]:
@@ -370,6 +388,11 @@ class Transaction:
             self.commit()
         return False
 
+    def now(self) -> Column:
+        """The commit's own time as a column, one value for all its rows and tables.  Clock
+        functions in the expressions of ``update``, ``merge`` and ``delete`` mean the same."""
+        return F.lit(self.ts).cast("timestamp_ntz").cast("timestamp")
+
     # -- staging ----------------------------------------------------------
     def _entry(self, table: str, create: bool = False) -> dict:
         if table in self.tables:
@@ -500,8 +523,8 @@ class Transaction:
         if schema.keys and not on_keys:
             self._check_inserted_keys(table, target, source, schema, on, insert_values)
         e = self._entry(table)
-        e["frames"].append(W.merge_changes(target, source, schema, on, update_set, insert_values,
-                                           broadcast_source=small))
+        e["frames"].append(W.merge_changes(target, source, schema, on, W.pin_clock(update_set, self.ts),
+                                           W.pin_clock(insert_values, self.ts), broadcast_source=small))
         e["append_only"] = False
         e["ops"].append("merge")
 
@@ -520,7 +543,7 @@ class Transaction:
     def delete(self, table, where):
         cur, schema = self._current(table)
         e = self._entry(table)
-        e["frames"].append(W.delete_changes(cur, schema, where))
+        e["frames"].append(W.delete_changes(cur, schema, W.pin_clock(where, self.ts)))
         e["append_only"] = False
         e["ops"].append("delete")
 
@@ -529,7 +552,7 @@ class Transaction:
         if set(set_) & set(schema.keys):
             raise LedgerError(f"UPDATE cannot set identity columns {list(schema.keys)}; delete and append instead")
         e = self._entry(table)
-        e["frames"].append(W.update_changes(cur, schema, where, set_))
+        e["frames"].append(W.update_changes(cur, schema, W.pin_clock(where, self.ts), W.pin_clock(set_, self.ts)))
         e["append_only"] = False
         e["ops"].append("update")
 

@@ -12,12 +12,14 @@ follow a delete of a key but never supersede a live row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.lineage import CommitRec, History, NoVersionError
-from tidemark.plans.schema import TableSchema, physical_fields
+from tidemark.plans.schema import Field, TableSchema, physical_fields
 from tidemark.sources.store import LedgerStore
 
 # Max rows of "touched" change rows whose keys we broadcast into the anti join.
@@ -25,17 +27,52 @@ from tidemark.sources.store import LedgerStore
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+_SIZED = re.compile(r"(truncate|bucket)\[(\d+)\]$")
+
+
+def _transform(transform: str, f: Field, value: Column) -> tuple[str, Column, T.DataType]:
+    """(physical name, partition value, its type) of a transform of ``value``, which has the field's type."""
+    typ = T._parse_datatype_string(f.type)
+    if transform == "day":
+        return f"_p_day_{f.phys}", F.to_date(value), T.DateType()
+    if transform == "identity":
+        return f"_p_{f.phys}", value, typ
+    m = _SIZED.match(transform)
+    if not m or int(m[2]) < 1:
+        raise ValueError(f"unknown partition transform {transform!r}")
+    kind, width = m[1], int(m[2])
+    if kind == "bucket":
+        return f"_p_bucket{width}_{f.phys}", F.pmod(F.xxhash64(value), F.lit(width)).cast("int"), T.IntegerType()
+    if isinstance(typ, T.IntegralType):
+        return f"_p_trunc{width}_{f.phys}", (value - F.pmod(value, F.lit(width).cast(typ))).cast(typ), typ
+    return f"_p_trunc{width}_{f.phys}", F.substring(value.cast("string"), 1, width), T.StringType()
+
+
 def partition_columns(schema: TableSchema) -> list[tuple[str, Column, T.DataType]]:
-    """(physical name, expression over physical columns, type) per partition transform."""
+    """(physical name, expression over physical columns, type) per partition transform: ``day``,
+    ``identity``, ``truncate[w]`` (integers down to a multiple, else the first w characters)
+    and ``bucket[n]`` (hash)."""
+    return [_transform(t, schema.field(c), F.col(schema.field(c).phys)) for t, c in schema.partition_by]
+
+
+def partition_predicates(schema: TableSchema, f: Field, bounds) -> list[Column]:
+    """Conditions on partition columns that a value, or inclusive bounds, of their source column imply."""
+    lo, hi = bounds if isinstance(bounds, tuple) else (bounds, bounds)
     out = []
     for transform, col in schema.partition_by:
-        f = schema.field(col)
-        if transform == "day":
-            out.append((f"_p_day_{f.phys}", F.to_date(F.col(f.phys)), T.DateType()))
-        elif transform == "identity":
-            out.append((f"_p_{f.phys}", F.col(f.phys), T._parse_datatype_string(f.type)))
-        else:
-            raise ValueError(f"unknown partition transform {transform!r}")
+        if col != f.name:
+            continue
+        if transform.startswith("bucket"):
+            if lo is not None and lo == hi:              # hashes keep no order
+                name, at, _ = _transform(transform, f, F.lit(lo).cast(f.type))
+                out.append(F.col(name) == at)
+            continue
+        if lo is not None:
+            name, at, _ = _transform(transform, f, F.lit(lo).cast(f.type))
+            out.append(F.col(name) >= at)
+        if hi is not None:
+            name, at, _ = _transform(transform, f, F.lit(hi).cast(f.type))
+            out.append(F.col(name) <= at)
     return out
 
 
@@ -56,8 +93,8 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
                 only_keys: DataFrame | None = None) -> tuple[DataFrame, TableSchema]:
     """Physical rows (f<id> columns + partition columns) of ``table`` at ``cut``.
 
-    ``only_keys`` (logical key columns, at most ``broadcast_rows`` rows, checked by
-    the caller) restricts the state to those keys: every segment is semi-joined
+    ``only_keys`` (logical or physical key columns, or ``_row_id`` of a table without keys;
+    at most ``broadcast_rows`` rows, checked by the caller) restricts the state to those keys: every segment is semi-joined
     with the broadcast key set *before* the latest-per-key window, so a MERGE with
     a small source never shuffles the whole table.
     """
@@ -76,8 +113,11 @@ def table_state(store: LedgerStore, hist: History, table: str, cut: str | None,
     def restrict(df: DataFrame) -> DataFrame:
         if only_keys is None:
             return df
-        ks = only_keys.select(*[F.col(k).cast(schema.field(k).type).alias(schema.field(k).phys)
-                                for k in schema.keys]).distinct()
+        if set(keys) <= set(only_keys.columns):
+            ks = only_keys.select(*keys).distinct()
+        else:
+            ks = only_keys.select(*[F.col(k).cast(schema.field(k).type).alias(schema.field(k).phys)
+                                    for k in schema.keys]).distinct()
         return df.join(F.broadcast(ks), keys, "left_semi")
 
     data = [r for r in tail if r.n_rows > 0]
@@ -151,19 +191,60 @@ def to_physical(df: DataFrame, schema: TableSchema, seq: int, op: Column | str)
     return out
 
 
-def row_diff(old: DataFrame, new: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Full outer join on the key; null-safe compare of every other column.
+def _aligned(old: TableSchema, new: TableSchema) -> list[tuple[Field | None, Field | None]]:
+    """Fields of both versions side by side, by field id: (old or None, new or None)."""
+    before = {f.id: f for f in old.fields}
+    now = {f.id for f in new.fields}
+    return [(before.get(f.id), f) for f in new.fields] + [(f, None) for f in old.fields if f.id not in now]
+
 
-    Output: keys, change_type (added | removed | changed), then old_/new_ images.
+def row_diff(old: DataFrame, new: DataFrame, old_schema: TableSchema, new_schema: TableSchema) -> DataFrame:
+    """Full outer join of two physical states on the key; NULL-safe compare of every other field.
+
+    Output: the keys, change_type (added | removed | changed), then ``old_``/``new_`` images under
+    each version's own column names.  Fields are matched by id, so a renamed column is one
+    field, and a value in a column that only one version has is a change.
     """
-    o = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(True).alias("_in_old"))
-    n = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(True).alias("_in_new"))
-    j = o.join(n, keys, "full_outer")
+    keys = new_schema.key_phys
+    pairs = [(o, n) for o, n in _aligned(old_schema, new_schema) if (n or o).phys not in keys]
+    o = old.select(*keys, *[F.col(x.phys).cast(x.type).alias(f"_o{x.id}") for x, _ in pairs if x],
+                   F.lit(True).alias("_in_old"))
+    n = new.select(*keys, *[F.col(x.phys).cast(x.type).alias(f"_n{x.id}") for _, x in pairs if x],
+                   F.lit(True).alias("_in_new"))
     same = F.lit(True)
-    for c in cols:
-        same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    for x, y in pairs:
+        if x and y:
+            same = same & F.col(f"_o{x.id}").eqNullSafe(F.col(f"_n{y.id}"))
+        else:
+            same = same & F.col(f"_o{x.id}" if x else f"_n{y.id}").isNull()
     ct = (F.when(F.col("_in_old").isNull(), "added")
           .when(F.col("_in_new").isNull(), "removed")
           .when(~same, "changed"))
-    return (j.withColumn("change_type", ct).where(F.col("change_type").isNotNull())
-            .drop("_in_old", "_in_new"))
+    names = [F.col(new_schema.field(k).phys).alias(k) for k in new_schema.keys]
+    images = [F.col(f"_o{x.id}").alias(f"old_{x.name}") for x, _ in pairs if x]
+    images += [F.col(f"_n{y.id}").alias(f"new_{y.name}") for _, y in pairs if y]
+    return (o.join(n, keys, "full_outer").withColumn("change_type", ct).where(F.col("change_type").isNotNull())
+            .select(*names, "change_type", *images))
+
+
+def multiset_diff(old: DataFrame, new: DataFrame, old_schema: TableSchema, new_schema: TableSchema) -> DataFrame:
+    """Diff of rows without identity: how many more (added) or fewer (removed) of each there are.
+
+    Both physical states are counted together, old rows as -1, NULLs equal to NULLs; one
+    shuffle with partial counts.  Output: every column, change_type, n.  Fields are matched by
+    id and named as in the new version; a column that the new one dropped keeps its old name,
+    with the field id added where that name is taken.
+    """
+    pairs, taken, old_cols, new_cols, names = _aligned(old_schema, new_schema), set(), [], [], []
+    for x, y in pairs:
+        f = y or x
+        name = f.name if f.name not in taken else f"{f.name}_{f.id}"
+        taken.add(name)
+        names.append(name)
+        old_cols.append((F.col(x.phys) if x else F.lit(None)).cast(f.type).alias(name))
+        new_cols.append((F.col(y.phys) if y else F.lit(None)).cast(f.type).alias(name))
+    both = (old.select(*old_cols, F.lit(-1).alias("_sign"))
+            .unionByName(new.select(*new_cols, F.lit(1).alias("_sign"))))
+    net = both.groupBy(*names).agg(F.sum("_sign").alias("_net")).where("_net <> 0")
+    return net.select(*names, F.when(F.col("_net") > 0, "added").otherwise("removed").alias("change_type"),
+                      F.abs("_net").cast("bigint").alias("n"))

@@ -6,6 +6,9 @@ table; the ledger writes it and only then publishes the commit row.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,35 @@ def _expr(e) -> Column:
     return e if isinstance(e, Column) else F.expr(e)
 
 
+# clock functions of SQL, outside quotes and not as a part of a longer name
+_CLOCK = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
+                    r"""|(?<![\w.])(now|current_timestamp|localtimestamp|current_date|curdate)\b(\s*\(\s*\))?""",
+                    re.IGNORECASE)
+
+
+def pin_clock(e, ts: dt.datetime):
+    """SQL write expressions with their clock functions set to the commit's own time.
+
+    A commit may take several jobs, and a lost executor may run a task again: each job has its
+    own current time, the commit has one.  Takes an expression, a dict of them, or None;
+    ``Column`` objects stay as they are, and so does ``now`` without parentheses.
+    """
+    if isinstance(e, dict):
+        return {k: pin_clock(v, ts) for k, v in e.items()}
+    if not isinstance(e, str):
+        return e
+    at = ts.strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    def literal(m: re.Match) -> str:
+        name = (m.group(1) or "").lower()
+        if not name or (name in ("now", "curdate", "localtimestamp") and not m.group(2)):
+            return m.group(0)
+        if name in ("current_date", "curdate"):
+            return f"DATE'{at[:10]}'"
+        return f"TIMESTAMP_NTZ'{at}'" if name == "localtimestamp" else f"TIMESTAMP'{at}'"
+    return _CLOCK.sub(literal, e)
+
+
 def conform(df: DataFrame, schema: TableSchema, by_name: bool = True) -> DataFrame:
     """Rows of ``df`` shaped to the table schema.
 

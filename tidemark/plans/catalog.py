@@ -348,6 +348,51 @@ def snapshot_diff(spark, sf):
     return d.select("o_orderkey", "change_type")
 
 
+@query("snapshot_diff_columns", f"""
+SELECT o_orderkey, CASE WHEN {K} = 4 THEN 'removed' ELSE 'changed' END AS change_type,
+       o_orderpriority AS old_o_orderpriority, o_orderstatus AS old_o_orderstatus,
+       CASE WHEN {K} = 9 THEN 'web' END AS new_channel,
+       CASE WHEN {K} <> 4 THEN o_orderstatus END AS new_status
+FROM orders WHERE o_orderpriority IS NOT NULL OR {K} IN (4, 9)""")
+def snapshot_diff_columns(spark, sf):
+    """Diff over the union of columns: one added, one dropped, one renamed in between."""
+    led, _ = _fresh_orders(spark, sf, "diff-columns", below=10)
+    led.add_column(ORDERS, "channel", "string")
+    led.rename_column(ORDERS, "o_orderstatus", "status")
+    led.drop_column(ORDERS, "o_orderpriority")
+    led.update(ORDERS, {"channel": "'web'"}, where="o_orderkey % 10 = 9")
+    led.delete(ORDERS, "o_orderkey % 10 = 4")
+    d = led.diff(ORDERS, dict(commit="c1"), dict(ref="main"))
+    return d.select("o_orderkey", "change_type", "old_o_orderpriority", "old_o_orderstatus", "new_channel",
+                    "new_status")
+
+
+KEYLESS_NEW = """SELECT user_id % 50 AS u, CASE WHEN event_id % 10 = 2 THEN 'seen' ELSE event_type END AS kind,
+       event_id % 10 AS digit FROM events WHERE event_id % 10 <> 7
+UNION ALL SELECT user_id % 50, event_type, event_id % 10 FROM events WHERE event_type = 'click'"""
+
+
+@query("snapshot_diff_multiset", f"""
+WITH o AS (SELECT user_id % 50 AS u, event_type AS kind, event_id % 10 AS digit FROM events), n AS ({KEYLESS_NEW})
+SELECT u, kind, digit, 'added' AS change_type, count(*) AS n FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY ALL
+UNION ALL
+SELECT u, kind, digit, 'removed', count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY ALL""")
+def snapshot_diff_multiset(spark, sf):
+    """Diff of a table without identity, whose rows repeat: how many more or fewer of each."""
+    from tidemark.ledger import Ledger
+    ev = table(spark, sf, "events")
+    led = Ledger.open(spark, scratch_path(spark, "ledger-keyless"))
+    kinds = ev.select((F.col("user_id") % 50).alias("u"), F.col("event_type").alias("kind"),
+                      (F.col("event_id") % 10).alias("digit"))
+    with led.transaction("main", commit_id="c1") as tx:
+        tx.create_table("metrics.kinds", kinds.schema)
+        tx.append("metrics.kinds", kinds)
+    led.delete("metrics.kinds", "digit = 7")
+    led.update("metrics.kinds", {"kind": "'seen'"}, where="digit = 2")
+    led.append("metrics.kinds", kinds.where("kind = 'click'"))
+    return led.diff("metrics.kinds", dict(commit="c1"), dict(ref="main"))
+
+
 @query("add_column_nulls", f"SELECT o_orderkey, {CHANNEL} FROM orders")
 def add_column_nulls(spark, sf):
     return _led(spark, sf).read(ORDERS, commit="c4").select("o_orderkey", "channel")
@@ -396,6 +441,18 @@ def update_where(spark, sf):
     return led.changes(ORDERS, "w").select("o_orderkey", "o_orderstatus", "change_op")
 
 
+@query("update_clock", f"""
+SELECT o_orderkey, TIMESTAMP '2024-03-01 12:00:00' AS o_orderdate, '2024-03-01' AS o_orderpriority,
+       'now()' AS o_orderstatus FROM orders WHERE {K} = 0""")
+def update_clock(spark, sf):
+    """Clock functions in a write give the commit's one time in every row."""
+    led, _ = _fresh_orders(spark, sf, "clock", below=10)
+    led.update(ORDERS, {"o_orderdate": "now()", "o_orderpriority": "cast(current_date AS string)",
+                        "o_orderstatus": "'now()'"}, where="o_orderkey % 10 = 0 AND o_orderdate < CURRENT_TIMESTAMP()",
+               ts="2024-03-01 12:00:00", commit_id="w")
+    return led.changes(ORDERS, "w").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+
+
 @query("delete_where", f"SELECT o_orderkey, 'D' AS change_op FROM orders WHERE {K} = 1")
 def delete_where(spark, sf):
     led, _ = _fresh_orders(spark, sf, "delete")
@@ -551,7 +608,7 @@ FROM ({CURRENT}) GROUP BY o_orderstatus"""
 
 @query("rollup_full", ROLLUP_SQL)
 def rollup_full(spark, sf):
-    return R.rollup(_led(spark, sf).read(ORDERS), ["o_orderstatus"], "o_totalprice")
+    return R.rollup(_led(spark, sf).read(ORDERS), ["o_orderstatus"], "o_totalprice").drop("n_amounts")
 
 
 @query("rollup_incremental", ROLLUP_SQL)
@@ -566,7 +623,30 @@ def rollup_incremental(spark, sf):
         FX._CACHE[("rollup_c2", led.root)] = path
     prev = spark.read.parquet(path)
     return R.refresh(led, ORDERS, prev, ["o_orderstatus"], "o_totalprice",
-                     dict(commit="c2"), dict(ref="main"))
+                     dict(commit="c2"), dict(ref="main")).drop("n_amounts")
+
+
+@query("rollup_extremes", f"""
+SELECT o_orderpriority, count(*) AS n_rows, count(amount) AS n_amounts,
+       CAST(sum(amount) AS DECIMAL(38,2)) AS total, min(amount) AS min_amount, max(amount) AS max_amount
+FROM (SELECT o_orderpriority, CASE WHEN {K} = 3 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS amount
+      FROM orders WHERE {K} <> 1
+      QUALIFY o_totalprice < max(CASE WHEN {K} <> 1 THEN o_totalprice END) OVER (PARTITION BY o_orderpriority))
+GROUP BY o_orderpriority""")
+def rollup_extremes(spark, sf):
+    """Minimum and maximum kept in step: rows go, amounts become NULL, then each group's dearest orders go."""
+    led, orders = _fresh_orders(spark, sf, "extremes", below=10)
+    path = scratch_path(spark, "rollup-extremes")
+    R.rollup(led.read(ORDERS), ["o_orderpriority"], "o_totalprice", extremes=True).write.parquet(path)
+    led.delete(ORDERS, "o_orderkey % 10 = 1")
+    top = led.read(ORDERS).groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("o_totalprice"))
+    dear = led.read(ORDERS).join(top, ["o_orderpriority", "o_totalprice"], "left_semi").select("o_orderkey")
+    led.merge(ORDERS, dear.withColumn("gone", F.lit(True)), on="o_orderkey",
+              update_set={"o_orderstatus": "'-'"}, insert_values=None)
+    led.delete(ORDERS, "o_orderstatus = '-'")
+    led.update(ORDERS, {"o_totalprice": "NULL"}, where="o_orderkey % 10 = 3")
+    return R.refresh(led, ORDERS, spark.read.parquet(path), ["o_orderpriority"], "o_totalprice",
+                     dict(commit="c1"), dict(ref="main"))
 
 
 # ---------------------------------------------------------------------------
