@@ -8,6 +8,8 @@ data), never the wall clock.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +84,15 @@ def counter_rate(samples: DataFrame, series: list[str], ts: str, value: str, tie
 def retain(samples: DataFrame, ts: str, end: Column, keep: str) -> DataFrame:
     """Samples with ts in (end - keep, end]; ``end`` may be a scalar subquery."""
     return samples.where((F.col(ts) > end - F.expr(f"INTERVAL {keep}")) & (F.col(ts) <= end))
+
+
+def retained(led, table: str, ts: str, keep: dt.timedelta, **at) -> DataFrame:
+    """Samples of a versioned table with ts in (newest - keep, newest].
+
+    The newest time is one number, read from statistics where the table allows; the cut then
+    prunes the table's partitions on ``ts`` (day, identity or truncate), so older ones are not read.
+    """
+    newest = led.read(table, **at).agg(F.max(ts)).first()[0]
+    if newest is None:
+        return led.read(table, **at)
+    return led.read(table, where={ts: (newest - keep, newest)}, **at).where(F.col(ts) > F.lit(newest - keep))

@@ -760,6 +760,92 @@ def stream_window(spark, sf):
     return window_totals(led.read("metrics.hourly"), ["event_type"]).drop("n_late")
 
 
+@query("stream_watermark", """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, max(value) AS max_value
+FROM events GROUP BY 1, 2""")
+def stream_watermark(spark, sf):
+    """Windows emitted once behind a watermark of one day, and those still open in the state store."""
+    from tidemark.ledger import Ledger
+    from tidemark.streaming.stateful import open_windows, watermarked_windows
+    src = FX.event_drops_for(spark, sf)
+    ev = table(spark, sf, "events")
+    led = Ledger.open(spark, scratch_path(spark, "stream-watermark"))
+    ckpt = scratch_path(spark, "ckpt-watermark")
+    q = watermarked_windows(spark, src, ev.schema, led, "metrics.closed", ckpt, "ts", ["event_type"], "value",
+                            delay="1 day", max_files_per_trigger=10)
+    q.awaitTermination()
+    return led.read("metrics.closed").drop("_row_id").unionByName(open_windows(spark, ckpt, ["event_type"]))
+
+
+def _tracked(spark, sf, name: str):
+    from tidemark.ledger import Ledger
+    from tidemark.streaming.stateful import track_series
+    src = FX.event_drops_for(spark, sf)
+    ev = table(spark, sf, "events")
+    led = Ledger.open(spark, scratch_path(spark, f"stream-{name}"))
+    q = track_series(spark, src, ev.schema, led, "metrics.events", scratch_path(spark, f"ckpt-{name}"), "ts",
+                     ["event_type"], "value", "event_id", max_files_per_trigger=10)
+    q.awaitTermination()
+    return led
+
+
+@query("stream_latest", ORACLE["latest_sample"])
+def stream_latest(spark, sf):
+    """Last sample of every series, carried from batch to batch in a versioned table."""
+    return _tracked(spark, sf, "latest").read("metrics.events_last").select("event_type", "last_ts", "last_value")
+
+
+@query("stream_increase", """
+WITH i AS (
+  SELECT event_type, ts, value AS v, lag(value IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p
+  FROM events)
+SELECT event_type, date_trunc('day', ts) AS step_start,
+       round(sum(CASE WHEN p IS NULL OR v IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END), 4) AS increase
+FROM i GROUP BY 1, 2""")
+def stream_increase(spark, sf):
+    """Reset-aware increase per day of the values as they come in, over batch ends."""
+    from tidemark.streaming.stateful import increase_totals
+    led = _tracked(spark, sf, "increase")
+    out = increase_totals(led.read("metrics.events_increase"), ["event_type"])
+    return out.select("event_type", F.col("step_start").cast("timestamp_ntz").alias("step_start"),
+                      F.round("increase", 4).alias("increase"))
+
+
+LABELS = "CASE WHEN event_id % 2 = 0 THEN map('type', event_type, 'shard', cast(user_id % 4 AS string)) " \
+         "ELSE map('shard', cast(user_id % 4 AS string), 'type', event_type, 'none', cast(NULL AS string)) END"
+
+
+@query("latest_by_labels", """
+SELECT '{"shard":"' || (user_id % 4) || '","type":"' || event_type || '"}' AS series, max(ts) AS last_ts,
+       arg_max(value, (ts, event_id)) AS last_value
+FROM events WHERE value IS NOT NULL AND event_type = 'click' GROUP BY 1""")
+def latest_by_labels(spark, sf):
+    """Series are label sets: a map's order does not matter, and a matcher asks for one label."""
+    from tidemark.functions.labels import series_key
+    ev = table(spark, sf, "events").withColumn("labels", F.expr(LABELS)).withColumn("series", series_key("labels"))
+    return MX.latest_sample(ev, ["series"], "ts", "value", "event_id", matchers={"labels['type']": "click"})
+
+
+@query("gauge_range", """
+SELECT event_type, date_trunc('hour', ts) AS step_start, arg_max(value, (ts, event_id)) AS value, count(*) AS n_samples
+FROM events WHERE value IS NOT NULL AND event_type = 'view' AND ts > TIMESTAMP '2024-01-05 06:30:00'
+  AND ts <= TIMESTAMP '2024-01-20 18:00:00' GROUP BY 1, 2""")
+def gauge_range(spark, sf):
+    """Gauge steps of one label over a time range, both pushed into the scan."""
+    return MX.gauge_series(FX.gauge_samples(spark, sf), ["event_type"], "ts", "value", "event_id", "1 hour",
+                           start=dt.datetime(2024, 1, 5, 6, 30), end=dt.datetime(2024, 1, 20, 18),
+                           matchers={"event_type": "view"})
+
+
+@query("retention_days", """
+SELECT event_id, ts, value FROM events
+WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
+def retention_days(spark, sf):
+    """Retention over day partitions: older days are not read."""
+    return MX.retained(FX.metrics_ledger_for(spark, sf), FX.EVENTS, "ts", dt.timedelta(days=7)).select(
+        "event_id", "ts", "value")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in QUERIES.items() if k not in UNREGISTERED}
 
