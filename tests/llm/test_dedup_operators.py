@@ -165,3 +165,50 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 300: 200}
     none = components(spark.createDataFrame([], "u bigint, v bigint"))
     assert none.count() == 0
+
+
+BIG = 2 ** 60
+
+
+def big_docs(spark):
+    """Ids beyond the whole numbers of a double, beside null ones."""
+    rows = [(BIG + 1, "a"), (BIG + 3, "a"), (BIG + 5, "c"), (None, "b"), (None, "d"), (BIG + 7, "d")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_large_ids_beside_null_ones_stay_whole(spark):
+    docs = big_docs(spark)
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {(BIG + 1, BIG + 3, 2, False), (BIG + 3, BIG + 3, 2, True), (BIG + 5, BIG + 5, 1, True),
+                   (None, None, 1, True), (None, BIG + 7, 2, False), (BIG + 7, BIG + 7, 2, True)}
+    left = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(docs).collect())
+    assert left == sorted([(str(BIG + 3), "a"), (str(BIG + 5), "c"), ("None", "b"), (str(BIG + 7), "d")])
+
+
+def test_repeated_texts_are_found_by_the_filter(spark, monkeypatch):
+    """Partial counts of several tasks meet in the index as verified hits."""
+    rows = spark.createDataFrame([(i, bytes([i % 3]) * 32) for i in range(60)], "_id bigint, digest binary").repartition(6)
+    parts = exact_dedup._partials(rows).collect()
+    assert len(parts) > 3 and sum(r.n for r in parts) == 60
+    f, hits = CuckooFilter(4), 0
+    for r in parts:
+        found = f.get(bytes(r.digest))
+        hits += found is not None
+        if found is None:
+            f.insert(bytes(r.digest), [r.n, r.max_id])
+        else:
+            found[0] += r.n
+    assert hits == len(parts) - 3 and sorted(v[0] for v in f.keys.values()) == [20, 20, 20]
+
+
+def test_few_words_in_a_batch_make_shingles():
+    from tidemark.llm.text_hash import shingle_hashes, word_hashes
+    for n in range(7):
+        for texts in ([" ".join("abcdefg"[:n])], [" ".join("abcdefg"[:n]), None, ""]):
+            hashes, offsets = shingle_hashes(*word_hashes(texts))
+            assert len(hashes) == offsets[-1] == (0 if n == 0 else max(n - 4, 1))
+
+
+def test_near_classes_of_a_three_word_table(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two, three")], "doc_id bigint, text string").coalesce(1)
+    assert {r.class_id for r in jaccard_join.near_classes(docs).collect()} == {1}

@@ -153,3 +153,26 @@ def test_crc_of_pieces(spark):
         assert r.ids_crc32 == zlib.crc32(ids[4 * r.start:4 * (r.start + r.length)])
     filled = sum(r.length for r in rows) / (2048 * len({r.sequence_id for r in rows}))
     assert filled > 0.97
+
+
+def test_packing_keeps_large_ids_whole(spark):
+    big = 2 ** 60
+    docs = spark.createDataFrame([(big + 1, "a b"), (big + 2, "c"), (big + 3, None), (None, "d e")], "doc_id bigint, text string")
+    assert {r.doc_id for r in seq_pack.pack_documents(docs, PATH).collect()} == {big + 1, big + 2, big + 3, None}
+
+
+def test_plain_words_are_cut_as_the_tokenizer_does(plain):
+    import random
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB'sSTdmMlLrReEvV09 .\"-!\t\nÉßÿÀ é'<|") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["it's I'LL don't'd 'super ''s '", "'", "a'", "'s", "'re've'll'm'd't's", "÷×", "x" * 100 + "'s"]
+    for t, ids in zip(texts, encoder(PATH).encode_many([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_ranking_is_a_full_sort():
+    rng = np.random.default_rng(3)
+    for n in (0, 5, 200, 5000):
+        score = rng.integers(0, 300, n).astype(np.float32)
+        near = np.flatnonzero(score > 0)
+        assert list(seq_pack.best_first(score)) == near[np.lexsort((near, -score[near]))].tolist()

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,93 +57,110 @@ def estimate(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np
     return est, EPSILON * size[:, None] * spread[None, :] + 1e-5 * size[:, None] * (length + 1)[None, :]
 
 
-def search_block(query_ids, queries, ids, vectors, codes, length, fit, centre, rot, k):
-    """The k best of one block for each query: arrays of query id, vector id and exact score."""
+def search_block(query_rows, query_ids, queries, rows, ids, vectors, codes, length, fit, centre, rot, k):
+    """The k best of one block for each query row: arrays of query row, query id, vector id, row and exact score."""
     est, err = estimate(queries, codes, length, fit, centre, rot)
-    out_q, out_v, out_s = [], [], []
+    found = [[] for _ in range(5)]
     for i in range(len(queries)):
-        other = ids != query_ids[i]
+        other = rows != query_rows[i]
         low = np.where(other, est[i] - err[i], -np.inf)
         n = int(other.sum())
         bar = np.partition(low, -k)[-k] if n > k else -np.inf
         near = np.flatnonzero(other & (est[i] + err[i] >= bar))
         exact = vectors[near] @ queries[i]
-        best = np.lexsort((ids[near], -exact))[:k]
-        out_q.append(np.full(len(best), query_ids[i]))
-        out_v.append(ids[near[best]])
-        out_s.append(exact[best])
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return join(out_q, np.int64), join(out_v, np.int64), join(out_s, np.float64)
+        best = np.lexsort((rows[near], ids[near], -exact))[:k]
+        for out, x in zip(found, (np.full(len(best), query_rows[i]), np.full(len(best), query_ids[i]),
+                                  ids[near[best]], rows[near[best]], exact[best])):
+            out.append(x)
+    kinds = (np.int64,) * 4 + (np.float64,)
+    return [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(found, kinds)]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) for vectors without nulls, NaN or infinities that are not all zero; one for each id."""
+    """(row, id, v) of the rows whose vector has no null, NaN or infinity and is not all zero."""
     v = F.col(vec_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), finite.alias("f"), some.alias("s"))
-    return rows.where("id is not null and v is not null and f and s").select("id", "v")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"),
+                          v.alias("v"), finite.alias("f"), some.alias("s"))
+    return rows.where("id is not null and v is not null and f and s").select("row", "id", "v")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
             vec_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows of every query by inner product, the query's own id excluded.
+    """The ``k`` nearest rows of every query row by inner product, the row itself excluded.
 
     ``is_query`` is a condition on the column ``id``.  Returns ``query_id``, ``rank`` (from 1),
     ``vec_id``, ``score`` (exact inner product in double precision), ties to the smaller id.
-    Vectors that are null, all zero or hold null or non-finite components, null ids, and
-    vectors of another length than the most common one (the greatest of several) take no
-    part.  Of rows that repeat an id the smallest vector counts.  Fewer candidates than ``k`` give
-    fewer rows; an empty table gives an empty result.
+    Vectors that are null, all zero or hold null or non-finite components, and null ids,
+    take no part.  Every other row counts: rows that repeat an id are queries and candidates of
+    their own, and vectors of each length are searched among their own kind.  Fewer
+    candidates than ``k`` give fewer rows; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = cut(usable(vectors, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")))
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), F.desc("d")).limit(1).collect()
-    schema = "query_id bigint, vec_id bigint, score double"
+    rows = cut(usable(vectors, id_col, vec_col).withColumn("dim", F.size("v")))
+    dims = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    schema = "query_row bigint, query_id bigint, vec_id bigint, row bigint, score double"
     if not dims:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, total = dims[0]["d"], dims[0]["n"]
-    rows = rows.where(F.size("v") == dim)
-    mean = rows.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).collect()
-    centre = np.zeros(dim)
+    main, total = dims[0]["dim"], dims[0]["n"]
+    mean = (rows.where(F.col("dim") == main).select(F.posexplode("v").alias("p", "x")).groupBy("p")
+            .agg(F.avg("x").alias("m")).collect())
+    centre = np.zeros(main)
     for r in mean:
         centre[r["p"]] = r["m"]
-    rot = rotation(dim)
+    made: dict = {}
+
+    def frame(dim: int):
+        """Centre and rotation for vectors of a length; the commonest has its mean, others the origin."""
+        if dim not in made:
+            made.clear()
+            made[dim] = (centre if dim == main else np.zeros(dim)), rotation(dim)
+        return made[dim]
+
     n_blocks = max(1, math.ceil(total / BLOCK_ROWS))
     n_queries = rows.where(is_query).count()
     q_blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
 
-    def index(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        codes, length, fit = encode(v, centre, rot)
-        return pd.DataFrame({"block": [int(key[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-                             "codes": [codes.tobytes()], "length": [length.tobytes()], "fit": [fit.tobytes()],
-                             "vectors": [v.tobytes()]})
-
-    def gather(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"query_ids": [pdf["id"].to_numpy(np.int64).tobytes()], "queries": [v.tobytes()]})
-
-    def search(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                as_matrix = lambda b, t: np.frombuffer(b, dtype=t)
-                ids = as_matrix(r.ids, np.int64)
-                q, v, s = search_block(
-                    as_matrix(r.query_ids, np.int64), as_matrix(r.queries, np.float64).reshape(-1, dim), ids,
-                    as_matrix(r.vectors, np.float64).reshape(-1, dim),
-                    as_matrix(r.codes, np.uint8).reshape(len(ids), -1), as_matrix(r.length, np.float64),
-                    as_matrix(r.fit, np.float64), centre, rot, k)
-                yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    blocks = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block")).applyInPandas(
-        index, "block int, ids binary, codes binary, length binary, fit binary, vectors binary")
-    asked = (rows.where(is_query).groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(q_blocks)).cast("int").alias("q"))
-             .applyInPandas(gather, "query_ids binary, queries binary")
+    def index(table: pa.Table) -> pa.Table:
+        dim, v = table.column("dim")[0].as_py(), np.stack(table.column("v").to_numpy()).astype(np.float64)
+        codes, length, fit = encode(v, *frame(dim))
+        out = {"dim": pa.array([dim], pa.int32()), "block": table.column("block").slice(0, 1)}
+        for name, x in (("rows", table.column("row").to_numpy()), ("ids", table.column("id").to_numpy()),
+                        ("codes", codes), ("length", length), ("fit", fit), ("vectors", v)):
+            out[name] = pa.array([x.tobytes()], pa.binary())
+        return pa.table(out)
+
+    def gather(table: pa.Table) -> pa.Table:
+        v = np.stack(table.column("v").to_numpy()).astype(np.float64)
+        return pa.table({"dim": table.column("dim").slice(0, 1),
+                         "query_rows": pa.array([table.column("row").to_numpy().tobytes()], pa.binary()),
+                         "query_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()),
+                         "queries": pa.array([v.tobytes()], pa.binary())})
+
+    def search(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                dim = r["dim"]
+                as_ints = lambda c: np.frombuffer(r[c], dtype=np.int64)
+                as_floats = lambda c: np.frombuffer(r[c], dtype=np.float64)
+                got = search_block(
+                    as_ints("query_rows"), as_ints("query_ids"), as_floats("queries").reshape(-1, dim), as_ints("rows"),
+                    as_ints("ids"), as_floats("vectors").reshape(-1, dim),
+                    np.frombuffer(r["codes"], dtype=np.uint8).reshape(len(as_ints("ids")), -1), as_floats("length"),
+                    as_floats("fit"), *frame(dim), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got],
+                                                 names=["query_row", "query_id", "vec_id", "row", "score"])
+
+    # blocks of the commonest length have BLOCK_ROWS rows, those of the others fewer
+    blocks = (rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).groupBy("dim", "block")
+              .applyInArrow(index, "dim int, block int, rows binary, ids binary, codes binary, length binary, fit binary, "
+                                   "vectors binary"))
+    asked = (rows.where(is_query).withColumn("q", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(q_blocks))).groupBy("dim", "q")
+             .applyInArrow(gather, "dim int, query_rows binary, query_ids binary, queries binary")
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    found = asked.join(blocks, "block").mapInPandas(search, schema)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.join(blocks, ["dim", "block"]).mapInArrow(search, schema)
+    best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from .word_blocks import binary_array
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMO_RUNS = 200_000      # entries of a memo's generation; a memory bound, never a result bound
@@ -29,7 +31,14 @@ _open: dict[str, "RunEncoder"] = {}
 _PLAIN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN_TEXT = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF \t\n\r\x0b\x0c]*")
-_PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")   # lower-cased
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)      # classes of the bytes of plain text
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[ord("0"):ord("9") + 1] = _DIGIT
+_CLASS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(ord("A"), ord("Z") + 1), *range(0x80, 0x9F)]] += 32      # second bytes of capital letters too
+GROUP_BYTES = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -114,7 +123,7 @@ class RunEncoder:
             at = e
         return out
 
-    def _known_words(self, words: set[str]) -> dict[str, bytes]:
+    def _known_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of all given words of plain characters."""
         get = self.words.get
         known = {w: get(w) for w in words}
@@ -140,16 +149,47 @@ class RunEncoder:
                     self.memo.put(r, ids)
         return known
 
-    def _parts(self, text: bytes) -> tuple[bool, list]:
-        """Whether all of ``text`` is plain, and its words if so, else its runs."""
-        if self.plain and b"<|" not in text:
-            s = text.decode("utf-8")
-            if _PLAIN_TEXT.fullmatch(s):
-                return True, _PLAIN_WORD.findall(s.lower())
-        return False, text.split()
+    def _is_plain_text(self, text: bytes) -> bool:
+        return self.plain and b"<|" not in text and _PLAIN_TEXT.fullmatch(text.decode("utf-8")) is not None
+
+    def _plain_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of plain characters, cut into words all at once.
 
-    def encode_many(self, texts: list[bytes], group: int = 1 << 20) -> list[bytes]:
-        """Ids of each text; unknown runs of a group of texts are encoded in one call."""
+        A word begins where the class of byte changes and at every digit; an apostrophe that
+        begins a run of signs takes the letters of a short form with it.
+        """
+        buf = _LOWER[np.frombuffer(b" ".join(texts) + b"   ", dtype=np.uint8)]
+        kind = _CLASS[buf]
+        begins = (kind != _SPACE) & ((np.diff(kind, prepend=np.uint8(_SPACE)) != 0) | (kind == _DIGIT))
+        mark = np.flatnonzero((buf == ord("'")) & begins)
+        one, two = buf[mark + 1], buf[mark + 2]
+        size = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8)).astype(np.int64)
+        size[((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))] = 2
+        size[(one == ord("l")) & (two == ord("l"))] = 2
+        mark, size = mark[size > 0], size[size > 0]
+        begins[mark + 1] = False
+        after = mark + 1 + size
+        begins[after] |= kind[after] == _LETTER
+        starts = np.flatnonzero(begins)
+        inside = kind != _SPACE
+        filled = np.concatenate((np.cumsum(inside)[starts] - 1, [np.count_nonzero(inside)]))
+        seen = binary_array(np.diff(filled), buf[inside]).dictionary_encode()
+        words = [w.decode("utf-8") for w in seen.dictionary.to_pylist()]
+        known = self._known_words(words)
+        ids = [known[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        n_ids = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
+        place = seen.indices.to_numpy(zero_copy_only=False)
+        count = n_ids[place]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        source = np.repeat((np.cumsum(n_ids) - n_ids)[place] - ends[:-1], count) + np.arange(ends[-1])
+        out = flat[source].tobytes()
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cuts = (ends[np.searchsorted(starts, bounds)] * 4).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def encode_many(self, texts: list[bytes], group: int = GROUP_BYTES) -> list[bytes]:
+        """Ids of each text; unknown words and runs of a group of texts are encoded in one call."""
         collects = gc.isenabled()
         gc.disable()                    # only flat lists are made here; scanning the memo is all cost
         try:
@@ -166,10 +206,12 @@ class RunEncoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= group):
                 size += len(texts[end])
                 end += 1
-            split = [self._parts(t) for t in texts[at:end]]
-            words = self._known_words(set().union(*(parts for plain, parts in split if plain)))
-            runs = self._known_runs(set().union(*(parts for plain, parts in split if not plain)))
-            out.extend(b"".join(map((words if plain else runs).__getitem__, parts)) for plain, parts in split)
+            some = texts[at:end]
+            plain = [self._is_plain_text(t) for t in some]
+            easy = iter(self._plain_ids([t for t, p in zip(some, plain) if p]) if any(plain) else ())
+            split = [None if p else t.split() for t, p in zip(some, plain)]
+            runs = self._known_runs(set().union(*(parts for parts in split if parts is not None)))
+            out.extend(next(easy) if parts is None else b"".join(map(runs.__getitem__, parts)) for parts in split)
             at = end
         return out
 

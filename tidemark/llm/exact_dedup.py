@@ -10,13 +10,14 @@ finds no room, the filter is rebuilt at twice the size from the stored keys.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, text_or_empty
 
 SLOTS, MAX_KICKS = 4, 200
+FOLD_ROWS = 65_536             # rows a task counts before it sends their texts on
 BUCKET_ROWS = 10_000           # digests in a bucket, on average
 
 
@@ -113,13 +114,12 @@ def update_index(index: DataFrame, changes: DataFrame, n_buckets: int) -> DataFr
     added: recompute it from the rows where the largest row itself may have gone.
     Deleting an unknown digest has no effect.
     """
-    def apply(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
         bucket = CuckooFilter(len(old) + len(new))
-        for d, n, m in zip(old["digest"], old["n"], old["max_id"]):
-            bucket.insert(bytes(d), [int(n), None if pd.isna(m) else int(m)])
-        for d, n, m in zip(new["digest"], new["n"], new["max_id"]):
-            d, n = bytes(d), int(n)
-            m = None if pd.isna(m) else int(m)
+        for row in old.to_pylist():
+            bucket.insert(row["digest"], [row["n"], row["max_id"]])
+        for row in new.to_pylist():
+            d, n, m = row["digest"], row["n"], row["max_id"]
             found = bucket.get(d)
             if found is None:
                 if n > 0:
@@ -130,13 +130,36 @@ def update_index(index: DataFrame, changes: DataFrame, n_buckets: int) -> DataFr
                 found[1] = m
             if found[0] <= 0:
                 bucket.delete(d)
-        return pd.DataFrame({"bucket": np.full(len(bucket.keys), key[0], dtype=np.int64),
-                             "digest": list(bucket.keys),
-                             "n": pd.array([r[0] for r in bucket.keys.values()], dtype="int64"),
-                             "max_id": pd.array([r[1] for r in bucket.keys.values()], dtype="Int64")})
+        return pa.table([pa.array([key[0].as_py()] * len(bucket.keys), pa.int64()),
+                         pa.array(bucket.keys, pa.binary()), pa.array([r[0] for r in bucket.keys.values()], pa.int64()),
+                         pa.array([r[1] for r in bucket.keys.values()], pa.int64())],
+                        names=["bucket", "digest", "n", "max_id"])
 
     keyed = changes.select(_bucket("digest", n_buckets).alias("bucket"), "digest", "n", "max_id")
-    return index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(apply, INDEX_SCHEMA)
+    return index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(apply, INDEX_SCHEMA)
+
+
+def _partials(rows: DataFrame) -> DataFrame:
+    """(digest, n, max_id) of many rows at a time: what a task knows of a text before the shuffle."""
+    def fold(held: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(held).group_by("digest").aggregate([("n", "sum"), ("max_id", "max")])
+        return pa.table({"digest": got.column("digest"), "n": got.column("n_sum"), "max_id": got.column("max_id_max")})
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            ones = pa.array(np.ones(b.num_rows, dtype=np.int64))
+            held.append(pa.table({"digest": b.column("digest"), "n": ones, "max_id": b.column("_id")}))
+            size += b.num_rows
+            if size >= FOLD_ROWS:
+                held = [fold(held)]
+                size = len(held[0])
+                if size > FOLD_ROWS // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from fold(held).to_batches()
+    return rows.mapInArrow(count, "digest binary, n bigint, max_id bigint")
 
 
 def empty_index(df: DataFrame) -> DataFrame:
@@ -151,15 +174,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of this id and text) and ``kept``.  Rows that repeat both id and text are each returned
     and each marked kept where their id is the largest; ``drop_copies`` leaves one of them.
     A null id never wins over another; a group of null ids only has a null ``keep_id`` and
-    keeps its rows' marks by that null.  Counts are taken per task before the shuffle, so a
-    group holding a third of all rows reaches its bucket as one row per task.
+    keeps its rows' marks by that null.  Rows are counted in batches before the shuffle, so a
+    group holding a third of all rows reaches its bucket as one row per ``FOLD_ROWS`` rows
+    or fewer; there the filter finds the text again and adds to the verified entry.
     """
     ship(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).cast("bigint").alias("_id"),
                            digest_of(text_or_empty(text_col)).alias("digest")))
-    per_text = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("max_id"))
     n_buckets = bucket_count(rows.count())
-    index = update_index(empty_index(docs), per_text, n_buckets)
+    index = update_index(empty_index(docs), _partials(rows), n_buckets)
     kept = F.col("_id").eqNullSafe(F.col("max_id"))
     return (rows.join(index, "digest")
             .select(F.col("_id").alias(id_col), F.lower(F.hex("digest")).alias("digest"),

@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from .common import ship, text_or_empty
 
 SHARD_BYTES = 12_000_000       # UTF-8 bytes of text in a shard, on average
 K1, B = 1.2, 0.75
+DENSE_PART = 4                 # a term in more than one of so many of a shard's documents has a dense row
 
 
 class Bm25Index:
@@ -47,26 +47,59 @@ class Bm25Index:
         self.doc, self.impact = doc[order].astype(np.int32), impact[order].astype(np.float32)
         self.begin = np.concatenate(([0], np.cumsum(self.df)))
         self.n = n
+        self.left = np.arange(n)                 # documents not dropped, in the order of the dense columns
+        # postings of the most common terms also as rows of a matrix, which one product adds up
+        dense = np.flatnonzero(self.df >= max(n / DENSE_PART, 8))
+        self.row = np.full(len(self.df), -1, dtype=np.int64)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), n))
+        for i, t in enumerate(dense.tolist()):
+            s = slice(self.begin[t], self.begin[t + 1])
+            self.dense[i, self.doc[s]] = self.impact[s]
 
     def query(self, seed: int, n_terms: int | None = None) -> np.ndarray:
         """Scores of all documents left for all terms of document ``seed``, or its ``n_terms`` heaviest."""
         terms = self.terms[seed]
         if n_terms is not None and len(terms) > n_terms:
             terms = terms[np.argpartition(-self.own[seed], n_terms - 1)[:n_terms]]
+        out = np.zeros(self.n)
         if not len(terms):
-            return np.zeros(self.n)
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms.tolist()]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                           weights=np.concatenate([self.impact[s] for s in spans]), minlength=self.n)
+            return out
+        rows = self.row[terms]
+        many = rows[rows >= 0]
+        if len(many):
+            asked = np.zeros(len(self.dense))
+            asked[many] = 1
+            out[self.left] = asked @ self.dense
+        few = terms[rows < 0]
+        if len(few):
+            sizes = self.begin[few + 1] - self.begin[few]
+            at = np.repeat(self.begin[few] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out += np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n)
+        return out.astype(np.float32)            # the order of the additions must not part equal scores
 
     def drop(self, gone: np.ndarray) -> None:
         """Take documents out of the postings; the weights of the others stay as they are."""
         keep = ~gone[self.doc]
         self.begin = np.concatenate(([0], np.cumsum(keep)))[self.begin]
         self.doc, self.impact = self.doc[keep], self.impact[keep]
+        stays = ~gone[self.left]
+        self.left, self.dense = self.left[stays], self.dense[:, stays]
         self.gone = gone.copy()
 
 
+def best_first(score: np.ndarray):
+    """Places of positive scores, highest first, ties to the smaller place; sorted as far as they are asked for."""
+    near = np.flatnonzero(score > 0)
+    for k in (32, 512):
+        if len(near) > 4 * k:
+            at = score[near]
+            bar = np.partition(at, len(at) - k)[len(at) - k]
+            head, near = near[at >= bar], near[at < bar]
+            yield from head[np.lexsort((head, -score[head]))].tolist()
+    yield from near[np.lexsort((near, -score[near]))].tolist()
+
+
 def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard's documents."""
     index = Bm25Index(docs)
@@ -100,10 +133,8 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
             index.drop(used)
         score = index.query(seed)
         score[used] = 0
-        near = np.flatnonzero(score > 0)
-        near = near[np.lexsort((near, -score[near]))]
         seed = -1
-        for d in near.tolist():
+        for d in best_first(score):
             if place(d):
                 seed = d                # its rest, if any, opened the window: it is the next seed
                 break
@@ -137,20 +168,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
                                               pa.array([small] * len(ids), pa.bool_())],
                                              names=["_id", "_shard", "_ids", "_small"])
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(table: pa.Table) -> pa.Table:
         forget()                        # the worker may have encoded before
-        pdf = pdf.sort_values(["_id", "_ids"], kind="stable", na_position="last")
-        ids = [np.frombuffer(x, dtype="<u2" if s else "<u4") for x, s in zip(pdf["_ids"], pdf["_small"])]
+        table = table.sort_by([("_id", "ascending"), ("_ids", "ascending")])     # null ids last
+        shard = table.column("_shard")[0].as_py()
+        ids = [np.frombuffer(x, dtype="<u2" if s else "<u4")
+               for x, s in zip(table.column("_ids").to_pylist(), table.column("_small").to_pylist())]
         got = np.array(pack_shard(ids, window), dtype=np.int64).reshape(-1, 5)
         owner = got[:, 0]
-        return pd.DataFrame({
-            id_col: pdf["_id"].to_numpy()[owner], "start": got[:, 1], "length": got[:, 2],
-            "ids": [ids[d][s:s + n].astype("<u4").tobytes() for d, s, n in got[:, :3].tolist()],
+        return pa.table({
+            id_col: table.column("_id").take(pa.array(owner)), "start": got[:, 1], "length": got[:, 2],
+            "ids": pa.array([ids[d][s:s + n].astype("<u4").tobytes() for d, s, n in got[:, :3].tolist()], pa.binary()),
             "doc_tokens": np.array([len(x) for x in ids], dtype=np.int64)[owner],
-            "sequence_id": (int(key[0]) << 32) + got[:, 3], "offset": got[:, 4]})
+            "sequence_id": (shard << 32) + got[:, 3], "offset": got[:, 4]})
 
     dealt = src.withColumn("_shard", F.pmod(F.xxhash64("_id", F.crc32(F.encode("_text", "UTF-8"))), F.lit(n_shards)))
     tokens = dealt.mapInArrow(tokenise, f"_id {id_type}, _shard bigint, _ids binary, _small boolean")
-    return tokens.groupBy("_shard").applyInPandas(
+    return tokens.repartition(n_shards, "_shard").groupBy("_shard").applyInArrow(
         pack, f"`{id_col}` {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, "
               "sequence_id bigint, offset bigint")

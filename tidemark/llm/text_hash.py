@@ -83,7 +83,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[
     m = len(words)
     rolled = np.zeros(max(m - n + 1, 0), dtype=np.uint64)
     for k in range(n):
-        rolled += words[k:m - n + 1 + k] * q[k]
+        rolled += words[k:k + len(rolled)] * q[k]
     counts = np.where(sizes >= n, sizes - n + 1, np.where(sizes > 0, 1, 0))
     out_off = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     src = np.repeat(offsets[:-1] - out_off[:-1], counts) + np.arange(out_off[-1])
