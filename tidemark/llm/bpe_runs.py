@@ -38,7 +38,7 @@ _CLASS[ord("0"):ord("9") + 1] = _DIGIT
 _CLASS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[[*range(ord("A"), ord("Z") + 1), *range(0x80, 0x9F)]] += 32      # second bytes of capital letters too
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -123,18 +123,17 @@ class RunEncoder:
             at = e
         return out
 
-    def _known_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of all given words of plain characters."""
-        get = self.words.get
-        known = {w: get(w) for w in words}
-        unknown = [w for w, ids in known.items() if ids is None]
-        for i in range(0, len(unknown), 2000):
-            some = unknown[i:i + 2000]
-            for w, ids in zip(some, self._encode_words(some)):
-                known[w] = ids
-                if len(w) <= MEMO_BYTES:
-                    self.words.put(w, ids)
-        return known
+    def _known_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the given words of plain characters."""
+        ids = list(map(self.words.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        for at in range(0, len(unknown), 20_000):
+            some = unknown[at:at + 20_000]
+            for i, x in zip(some, self._encode_words([words[i].decode("utf-8") for i in some])):
+                ids[i] = x
+                if len(words[i]) <= MEMO_BYTES:
+                    self.words.put(words[i], x)
+        return ids
 
     def _known_runs(self, runs: set[bytes]) -> dict[bytes, bytes]:
         """Ids of all given runs without white space, by the tokenizer itself."""
@@ -172,11 +171,9 @@ class RunEncoder:
         begins[after] |= kind[after] == _LETTER
         starts = np.flatnonzero(begins)
         inside = kind != _SPACE
-        filled = np.concatenate((np.cumsum(inside)[starts] - 1, [np.count_nonzero(inside)]))
-        seen = binary_array(np.diff(filled), buf[inside]).dictionary_encode()
-        words = [w.decode("utf-8") for w in seen.dictionary.to_pylist()]
-        known = self._known_words(words)
-        ids = [known[w] for w in words]
+        stops = np.flatnonzero(inside[:-1] & (begins[1:] | ~inside[1:])) + 1     # the text ends in spaces
+        seen = binary_array(stops - starts, buf[inside]).dictionary_encode()
+        ids = self._known_words(seen.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         n_ids = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
         place = seen.indices.to_numpy(zero_copy_only=False)

@@ -29,13 +29,13 @@ class Bm25Index:
     """Inverted index over documents given as arrays of term ids."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B):
-        pairs = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in pairs]
-        sizes = np.array([len(t) for t in self.terms], dtype=np.int64)
-        term = np.concatenate(self.terms) if len(docs) else np.zeros(0, dtype=np.int64)
-        tf = np.concatenate([c for _, c in pairs]).astype(np.float64) if len(docs) else np.zeros(0)
-        doc = np.repeat(np.arange(len(docs)), sizes)
         length = np.array([len(d) for d in docs], dtype=np.float64)
+        every = np.concatenate(docs).astype(np.int64) if len(docs) else np.zeros(0, dtype=np.int64)
+        width = int(every.max(initial=0)) + 1
+        pairs, tf = np.unique(np.repeat(np.arange(len(docs)), length.astype(np.int64)) * width + every, return_counts=True)
+        doc, term = np.divmod(pairs, width)
+        sizes = np.bincount(doc, minlength=len(docs))
+        self.terms = np.split(term, np.cumsum(sizes)[:-1]) if len(docs) else []
         n = len(docs)
         self.df = np.bincount(term, minlength=1)
         idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
