@@ -524,7 +524,7 @@ class Transaction:
             self._check_inserted_keys(table, target, source, schema, on, insert_values)
         e = self._entry(table)
         e["frames"].append(W.merge_changes(target, source, schema, on, W.pin_clock(update_set, self.ts),
-                                           W.pin_clock(insert_values, self.ts), broadcast_source=small))
+                                           W.pin_clock(insert_values, self.ts), broadcast_keys=small and not on_keys))
         e["append_only"] = False
         e["ops"].append("merge")
 

@@ -22,7 +22,8 @@ def compact(led, table: str, ref: str | None, commit: str | None) -> BaseRec:
     pcols = [p[0] for p in V.partition_columns(schema)]
     # a fresh folder per base: never overwrite files a reader may be scanning
     path = f"{led.store.base_path(table, cut)}-{uuid.uuid4().hex[:8]}"
-    n = led.store.write_base(path, state, pcols)
+    codec = led.properties(table, commit=cut).get("compression", "snappy")
+    n = led.store.write_base(path, state, pcols, codec)
     rec = BaseRec(led._next_seq(), table, cut, path, n)
     led.store.append_log("bases", [rec])
     led.hist.bases.append(rec)

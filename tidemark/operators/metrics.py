@@ -59,23 +59,24 @@ def gauge_series(samples: DataFrame, series: list[str], ts: str, value: str, tie
 
 
 def counter_increments(samples: DataFrame, series: list[str], ts: str, value: str, tiebreak: str,
-                       bucket_us: int = 3600 * O.US) -> DataFrame:
-    return O.reset_aware_increase(samples, series, ts, value, tiebreak, bucket_us)
+                       bucket_us: int = 3600 * O.US, rows: int = O.SEGMENT_ROWS) -> DataFrame:
+    return O.reset_aware_increase(samples, series, ts, value, tiebreak, bucket_us, rows=rows)
 
 
 def counter_increase(samples: DataFrame, series: list[str], ts: str, value: str, tiebreak: str,
-                     step: str = "1 day", bucket_us: int = 3600 * O.US) -> DataFrame:
+                     step: str = "1 day", bucket_us: int = 3600 * O.US, rows: int = O.SEGMENT_ROWS) -> DataFrame:
     """Reset-aware increase of a cumulative counter per series and step."""
-    inc = counter_increments(samples, series, ts, value, tiebreak, bucket_us)
+    inc = counter_increments(samples, series, ts, value, tiebreak, bucket_us, rows)
     return (inc.groupBy(*series, F.window(F.col(ts), step).start.alias("step_start"))
             .agg(F.sum("inc").alias("increase")))
 
 
 def counter_rate(samples: DataFrame, series: list[str], ts: str, value: str, tiebreak: str,
-                 range_seconds: int = 300, bucket_us: int = 3600 * O.US) -> DataFrame:
+                 range_seconds: int = 300, bucket_us: int = 3600 * O.US, rows: int = O.SEGMENT_ROWS) -> DataFrame:
     """Per-second rate at each sample: reset-aware increase over (t - range, t] / range.
-    No extrapolation to the range ends."""
-    inc = counter_increments(samples, series, ts, value, tiebreak, bucket_us)
+    No extrapolation to the range ends.  Both steps work on the same segments of the samples."""
+    cut_up = O.with_segments(samples, series, ts, bucket_us, rows)
+    inc = counter_increments(cut_up, series, ts, value, tiebreak, bucket_us, rows)
     tr = O.trailing_sum(inc, series, ts, "inc", range_seconds * O.US, bucket_us, name="_sum")
     return tr.select(*series, F.col(ts), F.col(tiebreak),
                      (F.col("_sum") / F.lit(float(range_seconds))).alias("rate"))

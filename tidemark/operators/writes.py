@@ -119,7 +119,7 @@ def update_changes(state: DataFrame, schema: TableSchema, where, set_: dict) ->
 
 def merge_changes(target: DataFrame, source: DataFrame, schema: TableSchema, on: list[str],
                   update_set: dict | None, insert_values: dict | None,
-                  broadcast_source: bool) -> DataFrame:
+                  broadcast_keys: bool) -> DataFrame:
     """MERGE INTO target USING source ON target.k = source.k
          WHEN MATCHED THEN UPDATE SET ... WHEN NOT MATCHED THEN INSERT ...
 
@@ -127,42 +127,32 @@ def merge_changes(target: DataFrame, source: DataFrame, schema: TableSchema, on:
     ``source.<col>`` (and ``target.<col>`` for updates).  Columns missing from
     the SET list keep the target value; columns missing from the INSERT list are
     NULL.  ``insert_values=None`` inserts the same-named source columns.
-    The source (size checked by the caller) is broadcast so the target is
-    streamed through the join without a shuffle.
+
+    One left join from the source gives both kinds of rows, so each side is read
+    once: a source row that finds target rows updates them, any other is inserted.
+    ``broadcast_keys`` (size checked by the caller) narrows the target to the
+    source's keys before that, without a shuffle of the target.
     """
     s = source.alias("source")
-    s_b = F.broadcast(s) if broadcast_source else s
-    t = target.alias("target")
+    if broadcast_keys:
+        target = target.join(F.broadcast(source.select(*on)), on, "left_semi").select(*target.columns)
+    t = target.withColumn("_hit", F.lit(True)).alias("target")
     cond = None
     for k in on:
         c = F.col(f"target.{k}") == F.col(f"source.{k}")   # plain '=': NULL keys never match
         cond = c if cond is None else cond & c
-    parts = []
-    if update_set is not None:
-        matched = t.join(s_b, cond, "inner")
-        cols = [(_expr(update_set[f.name]) if f.name in update_set else F.col(f"target.{f.name}"))
-                .cast(f.type).alias(f.name) for f in schema.fields]
-        if not schema.keys:
-            cols.append(F.col("target._row_id"))
-        parts.append(matched.select(*cols).withColumn("_op", F.lit("U")))
-    if insert_values is not None or update_set is not None:
-        tk = target.select(*[F.col(k).alias(f"_tk_{k}") for k in on])
-        if broadcast_source:
-            # unmatched source rows = source minus keys that matched (matched <= |source|)
-            hit = t.join(s_b, cond, "left_semi").select(*[F.col(k).alias(f"_tk_{k}") for k in on])
-            tk = hit
-        anti_cond = None
-        for k in on:
-            c = F.col(f"_tk_{k}") == F.col(f"source.{k}")
-            anti_cond = c if anti_cond is None else anti_cond & c
-        unmatched = s.join(tk, anti_cond, "left_anti")
-        ins = insert_values
-        if ins is None:
-            ins = {c: F.col(f"source.{c}") for c in source.columns if schema.has(c)}
-        cols = [(_expr(ins[f.name]) if f.name in ins else F.lit(None)).cast(f.type).alias(f.name)
-                for f in schema.fields]
-        parts.append(unmatched.select(*cols).withColumn("_op", F.lit("I")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    ins = insert_values
+    if ins is None:
+        ins = {c: F.col(f"source.{c}") for c in source.columns if schema.has(c)}
+    new = {f.name: (_expr(ins[f.name]) if f.name in ins else F.lit(None)).cast(f.type) for f in schema.fields}
+    if update_set is None:
+        return (s.join(t, cond, "left_anti").select(*[c.alias(n) for n, c in new.items()])
+                .withColumn("_op", F.lit("I")))
+    hit = F.col("target._hit").isNotNull()
+    cols = []
+    for f in schema.fields:
+        old = _expr(update_set[f.name]) if f.name in update_set else F.col(f"target.{f.name}")
+        cols.append(F.when(hit, old.cast(f.type)).otherwise(new[f.name]).alias(f.name))
+    if not schema.keys:
+        cols.append(F.col("target._row_id"))
+    return s.join(t, cond, "left").select(*cols, F.when(hit, F.lit("U")).otherwise(F.lit("I")).alias("_op"))

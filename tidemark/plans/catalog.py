@@ -45,14 +45,15 @@ def _led(spark, sf, variant="full"):
     return FX.ledger_for(spark, sf, variant)
 
 
-def _fresh_orders(spark, sf, name: str, below: int = 8):
-    """A ledger of its own holding the orders with k < ``below``, for queries that time a write."""
+def _fresh_orders(spark, sf, name: str, without: tuple = ()):
+    """A ledger of its own holding all orders but those whose k is to be inserted, for queries that
+    time a write."""
     from tidemark.ledger import Ledger
     orders = table(spark, sf, "orders").select(*FX.ORDERS_COLS)
     led = Ledger.open(spark, scratch_path(spark, f"ledger-{name}"))
     with led.transaction("main", commit_id="c1") as tx:
         tx.create_table(ORDERS, orders.schema, keys=["o_orderkey"])
-        tx.append(ORDERS, orders.where(FX.kmod() < below))
+        tx.append(ORDERS, orders.where(~FX.kmod().isin(*without)) if without else orders)
     return led, orders
 
 
@@ -178,7 +179,7 @@ def drop_then_as_of(spark, sf):
 
 @query("append_rows", f"SELECT {SIX}, 'I' AS change_op FROM orders WHERE {K} IN (6, 7)")
 def append_rows(spark, sf):
-    led, orders = _fresh_orders(spark, sf, "append", below=6)
+    led, orders = _fresh_orders(spark, sf, "append", without=(6, 7))
     led.append(ORDERS, orders.where(FX.kmod().isin(6, 7)), commit_id="w")
     return led.changes(ORDERS, "w")
 
@@ -356,7 +357,7 @@ SELECT o_orderkey, CASE WHEN {K} = 4 THEN 'removed' ELSE 'changed' END AS change
 FROM orders WHERE o_orderpriority IS NOT NULL OR {K} IN (4, 9)""")
 def snapshot_diff_columns(spark, sf):
     """Diff over the union of columns: one added, one dropped, one renamed in between."""
-    led, _ = _fresh_orders(spark, sf, "diff-columns", below=10)
+    led, _ = _fresh_orders(spark, sf, "diff-columns")
     led.add_column(ORDERS, "channel", "string")
     led.rename_column(ORDERS, "o_orderstatus", "status")
     led.drop_column(ORDERS, "o_orderpriority")
@@ -398,6 +399,16 @@ def add_column_nulls(spark, sf):
     return _led(spark, sf).read(ORDERS, commit="c4").select("o_orderkey", "channel")
 
 
+@query("add_column_if_absent", f"SELECT o_orderkey, {CHANNEL} FROM orders")
+def add_column_if_absent(spark, sf):
+    """Adding a column that is there already changes neither the schema nor the values."""
+    led, _ = _fresh_orders(spark, sf, "add-if-absent")
+    led.add_column(ORDERS, "channel", "string", if_not_exists=True)
+    led.update(ORDERS, {"channel": "'web'"}, where="o_orderkey % 10 = 9")
+    led.add_column(ORDERS, "channel", "string", if_not_exists=True)
+    return led.read(ORDERS).select("o_orderkey", "channel")
+
+
 @query("drop_column", f"""
 SELECT o_orderkey, o_custkey, {STATUS_C3}, o_totalprice, o_orderdate FROM orders WHERE {K} < 9""")
 def drop_column(spark, sf):
@@ -428,7 +439,7 @@ SELECT o_orderkey, CASE WHEN {K} = 8 THEN o_orderstatus ELSE 'X' END AS o_orders
        CASE WHEN {K} = 8 THEN 'I' ELSE 'U' END AS change_op
 FROM orders WHERE {K} IN (5, 6, 7, 8)""")
 def merge_upsert(spark, sf):
-    led, orders = _fresh_orders(spark, sf, "merge")
+    led, orders = _fresh_orders(spark, sf, "merge", without=(8,))
     led.merge(ORDERS, orders.where(FX.kmod().isin(5, 6, 7, 8)), on=["o_orderkey"],
               update_set={"o_orderstatus": "'X'"}, commit_id="w")
     return led.changes(ORDERS, "w").select("o_orderkey", "o_orderstatus", "change_op")
@@ -446,7 +457,7 @@ SELECT o_orderkey, TIMESTAMP '2024-03-01 12:00:00' AS o_orderdate, '2024-03-01'
        'now()' AS o_orderstatus FROM orders WHERE {K} = 0""")
 def update_clock(spark, sf):
     """Clock functions in a write give the commit's one time in every row."""
-    led, _ = _fresh_orders(spark, sf, "clock", below=10)
+    led, _ = _fresh_orders(spark, sf, "clock")
     led.update(ORDERS, {"o_orderdate": "now()", "o_orderpriority": "cast(current_date AS string)",
                         "o_orderstatus": "'now()'"}, where="o_orderkey % 10 = 0 AND o_orderdate < CURRENT_TIMESTAMP()",
                ts="2024-03-01 12:00:00", commit_id="w")
@@ -635,7 +646,7 @@ FROM (SELECT o_orderpriority, CASE WHEN {K} = 3 THEN NULL ELSE CAST(o_totalprice
 GROUP BY o_orderpriority""")
 def rollup_extremes(spark, sf):
     """Minimum and maximum kept in step: rows go, amounts become NULL, then each group's dearest orders go."""
-    led, orders = _fresh_orders(spark, sf, "extremes", below=10)
+    led, orders = _fresh_orders(spark, sf, "extremes")
     path = scratch_path(spark, "rollup-extremes")
     R.rollup(led.read(ORDERS), ["o_orderpriority"], "o_totalprice", extremes=True).write.parquet(path)
     led.delete(ORDERS, "o_orderkey % 10 = 1")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.lineage import BaseRec, CommitRec, ExpireRec, History, RefRec
+from tidemark.sources.files import SmallFiles
 
 def _struct_for(cls) -> T.StructType:
     hints = {"str": T.StringType(), "str | None": T.StringType(), "int": T.LongType(),
@@ -37,12 +38,14 @@ _ARROW = {"str": pa.string(), "str | None": pa.string(), "int": pa.int64(), "boo
 
 LOGS = {"commits": CommitRec, "refs": RefRec, "bases": BaseRec, "expired": ExpireRec}
 META_COLS = ["_seq", "_op"]
+LOG_FILES = 200          # log files the driver reads one by one; a longer log takes one Spark scan
 
 
 class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.files = SmallFiles(spark)
 
     # -- paths ------------------------------------------------------------
     def log_path(self, kind: str) -> str:
@@ -63,61 +66,48 @@ class LedgerStore:
     # -- metadata logs ----------------------------------------------------
     # The logs are a few bytes per commit, so the driver writes them directly
     # (one file per event, published by rename) instead of launching a Spark job.
-    def _fs(self):
-        import pyarrow.fs as pafs
-        from tidemark.session import local_path
-        lp = local_path(self.root)
-        if lp is not None:
-            return pafs.LocalFileSystem(), lp
-        fs, path = pafs.FileSystem.from_uri(self.root)
-        return fs, path
-
     def append_log(self, kind: str, recs: list) -> None:
         if not recs:
             return
-        import pyarrow as pa
         import pyarrow.parquet as pq
-        cls = LOGS[kind]
-        names = [f.name for f in dataclasses.fields(cls)]
-        schema = pa.schema([(f.name, _ARROW[f.type]) for f in dataclasses.fields(cls)])
-        cols = {n: [getattr(r, n) for r in recs] for n in names}
-        tbl = pa.table(cols, schema=schema)
-        fs, root = self._fs()
-        d = f"{root}/_log/{kind}"
-        fs.create_dir(d, recursive=True)
-        name = f"{recs[0].seq:012d}-{uuid.uuid4().hex[:8]}.parquet"
-        tmp = f"{d}/_tmp-{name}"          # '_' prefix: invisible to readers until renamed
-        with fs.open_output_stream(tmp) as out:
-            pq.write_table(tbl, out)
-        fs.move(tmp, f"{d}/{name}")
+        names = [f.name for f in dataclasses.fields(LOGS[kind])]
+        schema = pa.schema([(f.name, _ARROW[f.type]) for f in dataclasses.fields(LOGS[kind])])
+        tbl = pa.table({n: [getattr(r, n) for r in recs] for n in names}, schema=schema)
+        out = pa.BufferOutputStream()
+        pq.write_table(tbl, out)
+        self.files.publish(self.log_path(kind), f"{recs[0].seq:012d}-{uuid.uuid4().hex[:8]}.parquet",
+                           out.getvalue().to_pybytes())
 
     def log_frame(self, kind: str) -> DataFrame:
         schema = _struct_for(LOGS[kind])
-        fs, root = self._fs()
-        import pyarrow.fs as pafs
-        if fs.get_file_info(f"{root}/_log/{kind}").type == pafs.FileType.NotFound:
+        if not self.files.exists(self.log_path(kind)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.log_path(kind))
 
-    def load_history(self) -> History:
-        import pyarrow.fs as pafs
+    def _log_rows(self, kind: str) -> list[dict]:
+        """Rows of a log: a few files are read here, a long log by one Spark scan."""
         import pyarrow.parquet as pq
+        names = self.files.names(self.log_path(kind), ".parquet")
+        if len(names) <= LOG_FILES:
+            return [row for n in names for row in
+                    pq.read_table(pa.BufferReader(self.files.read(f"{self.log_path(kind)}/{n}"))).to_pylist()]
+        log = self.log_frame(kind)
+        cols = [F.unix_micros(c.name).alias(c.name) if isinstance(c.dataType, T.TimestampType) else F.col(c.name)
+                for c in log.schema.fields]
+        return [r.asDict() for r in log.select(*cols).collect()]
+
+    def load_history(self) -> History:
         h = History()
-        fs, root = self._fs()
         for kind, cls in LOGS.items():
-            d = f"{root}/_log/{kind}"
+            times = [f.name for f in dataclasses.fields(cls) if f.type.startswith("dt.datetime")]
             recs = []
-            if fs.get_file_info(d).type != pafs.FileType.NotFound:
-                infos = fs.get_file_info(pafs.FileSelector(d))
-                for info in infos:
-                    if not info.base_name.endswith(".parquet") or info.base_name.startswith("_"):
-                        continue
-                    with fs.open_input_file(info.path) as f:
-                        for row in pq.read_table(f).to_pylist():
-                            for k, v in row.items():
-                                if isinstance(v, dt.datetime) and v.tzinfo is not None:
-                                    row[k] = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
-                            recs.append(cls(**row))
+            for row in self._log_rows(kind):
+                for k in times:
+                    if isinstance(row[k], int):
+                        row[k] = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=row[k])
+                    elif row[k] is not None and row[k].tzinfo is not None:
+                        row[k] = row[k].astimezone(dt.timezone.utc).replace(tzinfo=None)
+                recs.append(cls(**row))
             recs.sort(key=lambda r: r.seq)
             setattr(h, kind, recs)
         return h
@@ -146,14 +136,10 @@ class LedgerStore:
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
     def delete_changes(self, table: str, commit_id: str) -> None:
-        import pyarrow.fs as pafs
-        fs, root = self._fs()
-        d = f"{root}/tables/{table}/changes/commit_id={commit_id}"
-        if fs.get_file_info(d).type == pafs.FileType.Directory:
-            fs.delete_dir(d)
-
-    def write_base(self, path: str, df: DataFrame, partition_cols: list[str]) -> int:
-        w = df.write.mode("overwrite")
+        self.files.delete(self.commit_changes_path(table, commit_id))
+
+    def write_base(self, path: str, df: DataFrame, partition_cols: list[str], compression: str = "snappy") -> int:
+        w = df.write.mode("overwrite").option("compression", compression)
         if partition_cols:
             w = w.partitionBy(*partition_cols)
         w.parquet(path)
