@@ -92,6 +92,17 @@ def test_main_text_of_known_pages(spark):
     assert html_extract.extract_text(empty_like(pages)).count() == 0
 
 
+def test_page_sample_is_bounded_and_one_of_each_id(spark):
+    rows = [(i, f"<p>page {i}</p>") for i in range(60)]
+    rows += [(7, f"<p>copy {i:03}</p>") for i in range(300)] + [(None, "<p>no id</p>"), (500, None), (501, "x" * 200_001)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").repartition(20)
+    every = html_extract.sample_pages(pages, "page_id", "html", 100)
+    assert sorted(every) == sorted(["<p>no id</p>", "<p>copy 000</p>", *[h for i, h in rows[:60] if i != 7]])
+    few = html_extract.sample_pages(pages.repartition(3), "page_id", "html", 10)
+    assert few == every[:10]
+    assert html_extract.sample_pages(empty_like(pages), "page_id", "html") == []
+
+
 def test_blocks_of_broken_markup():
     b = html_extract.blocks_of("<div>a<p>b<p>c</div>d<!-- x <p> --><script>y</script>e<ul><li>f<li>g")
     assert [x.text for x in b] == ["a", "b", "c", "de", "f", "g"]

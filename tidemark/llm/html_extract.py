@@ -390,11 +390,18 @@ def train(pages: list[str], seed: int = 11, epochs: int = 9, copies: int = 3) ->
 
 
 def sample_pages(pages: DataFrame, id_col: str, html_col: str, n: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``n`` pages of at most SAMPLE_BYTES, those of smallest id hash."""
-    few = (pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= SAMPLE_BYTES))
-           .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(html_col).alias("html"))
-           .orderBy("h", "html").limit(n))
-    return [r["html"] for r in few.collect()]
+    """At most ``n`` pages of at most SAMPLE_BYTES: those of smallest id hash, one of each id.
+
+    Hashes are chosen first, so a task sends the driver ``n`` hashes at most, and pages only of
+    the ids chosen: what reaches the driver is at most ``n`` pages however many tasks there are.
+    """
+    fit = (pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= SAMPLE_BYTES))
+           .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(html_col).alias("html")))
+    few = [r["h"] for r in fit.select("h").distinct().orderBy("h").limit(n).collect()]
+    if not few:
+        return []
+    chosen = fit.where(F.col("h").isin(few)).groupBy("h").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(chosen.collect(), key=lambda r: r["h"])]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
