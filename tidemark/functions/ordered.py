@@ -94,14 +94,14 @@ def bucketed_row_number(df: DataFrame, group: list[str], ts: str, tiebreak: str,
                         bucket_us: int = 3600 * US, name: str = "rn", rows: int = SEGMENT_ROWS) -> DataFrame:
     """``row_number() over (partition by group order by ts, tiebreak)``, computed per
     (group, segment) plus the row count of earlier segments of the group."""
-    d = with_segments(df, group, ts, bucket_us, rows).withColumn("_g", _own_segment(ts)).drop("_starts")
-    counts = d.groupBy(*group, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*group).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    d = with_segments(df, group, ts, bucket_us, rows).withColumn("_b", _own_segment(ts)).drop("_starts")
+    counts = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wg = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wg), F.lit(0))).drop("_n")
-    wb = Window.partitionBy(*group, "_g").orderBy(ts, tiebreak)
-    return (null_safe_join(d, offsets, [*group, "_g"])
+    wb = Window.partitionBy(*group, "_b").orderBy(ts, tiebreak)
+    return (null_safe_join(d, offsets, [*group, "_b"])
             .withColumn(name, F.row_number().over(wb) + F.col("_off"))
-            .drop("_g", "_off"))
+            .drop("_b", "_off"))
 
 
 def reset_aware_increase(df: DataFrame, series: list[str], ts: str, value: str, tiebreak: str,
@@ -113,24 +113,24 @@ def reset_aware_increase(df: DataFrame, series: list[str], ts: str, value: str,
     ``df`` already carries (``with_segments``) are used and kept."""
     given = "_starts" in df.columns
     d = df if given else with_segments(df, series, ts, bucket_us, rows)
-    d = d.withColumn("_g", _own_segment(ts))
+    d = d.withColumn("_b", _own_segment(ts))
     if not given:
         d = d.drop("_starts")
-    last = (d.groupBy(*series, "_g")
+    last = (d.groupBy(*series, "_b")
             .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), newest(d, ts, tiebreak)))
                  .alias("_last")))
-    ws = Window.partitionBy(*series).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    ws = Window.partitionBy(*series).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(ws)).drop("_last")
-    wb = Window.partitionBy(*series, "_g").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*series, "_b").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.coalesce(F.last(value, ignorenulls=True).over(wb), F.col("_carry"))
     v = F.col(value)
     inc = (F.when(F.col("_prev").isNull() | v.isNull(), F.lit(0.0))
            .when(v < F.col("_prev"), v)
            .otherwise(v - F.col("_prev")))
-    return (null_safe_join(d, carry, [*series, "_g"])
+    return (null_safe_join(d, carry, [*series, "_b"])
             .withColumn("_prev", prev)
             .withColumn(name, inc.cast("double"))
-            .drop("_prev", "_carry", "_g"))
+            .drop("_prev", "_carry", "_b"))
 
 
 def trailing_sum(df: DataFrame, series: list[str], ts: str, col: str, window_us: int,
@@ -147,7 +147,7 @@ def trailing_sum(df: DataFrame, series: list[str], ts: str, col: str, window_us:
     d = df if "_starts" in df.columns else with_segments(df, series, ts, bucket_us, rows)
     d = d.withColumn("_t", micros(ts))
     later = F.filter("_starts", lambda x: (x > F.col("_t")) & (x < F.col("_t") + F.lit(window_us)))
-    allrows = (d.withColumn("_g", F.explode(F.concat(F.array(_own_segment(ts)), later))).drop("_starts"))
-    w = Window.partitionBy(*series, "_g").orderBy("_t").rangeBetween(-(window_us - 1), 0)
+    allrows = (d.withColumn("_b", F.explode(F.concat(F.array(_own_segment(ts)), later))).drop("_starts"))
+    w = Window.partitionBy(*series, "_b").orderBy("_t").rangeBetween(-(window_us - 1), 0)
     return (allrows.withColumn(name, F.sum(col).over(w))
-            .where(F.col("_g").isNull() | (F.col("_g") <= F.col("_t"))).drop("_g", "_t"))
+            .where(F.col("_b").isNull() | (F.col("_b") <= F.col("_t"))).drop("_b", "_t"))
