@@ -8,6 +8,7 @@ import sys
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from helpers import empty_like, messy_docs, shingles, words_of  # noqa: E402
@@ -150,6 +151,35 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == brute_links(rows)
 
 
+def chain(n, words=60, step=9):
+    """Texts that share most words with the next ones only, never enough for a link."""
+    return [(i, " ".join(f"w{j}" for j in range(i * step, i * step + words))) for i in range(n)]
+
+
+def test_a_chain_of_unlinked_texts_costs_its_length(spark, monkeypatch):
+    sent = {}
+    plain = jaccard_join._visits
+
+    def counted(shared, placed):
+        out = plain(shared, placed)
+        sent[placed.count()] = out.count()
+        mates = shared.select("node", "key").join(shared.select(F.col("node").alias("mate"), "key"), "key")
+        near = mates.select("node", "mate").distinct()
+        want = near.join(placed.select(F.col("node").alias("mate"), F.col("block").alias("other")), "mate")
+        wide = placed.where("blocks > 1").select("node")
+        assert set(map(tuple, out.join(wide, "node").collect())) == set(
+            map(tuple, want.select("node", "other").join(wide, "node").distinct().collect()))
+        return out
+    monkeypatch.setattr(jaccard_join, "_visits", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    for n in (400, 800):
+        docs = spark.createDataFrame(chain(n), "doc_id bigint, text string")
+        assert {r.n_links for r in jaccard_join.near_duplicates(docs).collect()} == {0}
+    (few, rows), (many, more) = sorted(sent.items())
+    assert few > 300 and many > 700                  # the texts are one area, or nearly
+    assert more / many < 1.25 * rows / few           # blocks double, rows a text stay
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     for n in (16, 64, 128):
         m = jaccard_join.least_matches(n, 0.8, 1e-9)

@@ -6,8 +6,10 @@
    tied to the band's first one, and the components of these ties are areas outside of
    which no link is looked for.  At the threshold a pair is missed with probability
    (1 - t**ROWS)**BANDS, 5e-8 for t = 0.8.
-3. An area is cut into blocks by a hash, and every pair of blocks is one unit of work, so no
-   unit holds more than two blocks, however many copies there are.  Inside it, pairs are
+3. An area is cut into blocks by a hash, and a pair of blocks is one unit of work, so no unit
+   holds more than two blocks, however many copies there are.  A digest goes to the units of
+   those blocks that hold a digest it agrees with in a band: a chain of texts that are near
+   only to the next ones costs its length, not the square of it.  Inside a unit, pairs are
    compared one slice of MinHash values after another and dropped once the posterior
    probability of reaching the threshold falls below TOLERANCE.
 4. What is left is verified exactly on the shingle sets.  A unit returns link counts and a
@@ -200,9 +202,9 @@ def _sets(batches):
             _, _, sh, off = _shingled(group)
             sigs.extend(s.tobytes() for s in min_hashes(sh, off))
             sets.extend(np.unique(sh[x:y]).tobytes() for x, y in zip(off[:-1], off[1:]))
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("area"), b.column("block"), b.column("blocks"),
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("area"), b.column("block"), b.column("others"),
                                           pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-                                         names=["node", "area", "block", "blocks", "sig", "grams"])
+                                         names=["node", "area", "block", "others", "sig", "grams"])
 
 
 def _units(threshold: float, tolerance: float):
@@ -249,6 +251,24 @@ def _text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
 
 
+def _visits(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, other): the blocks whose digests each node is compared with, its own among them.
+
+    ``shared`` has (node, key), the band keys that several nodes share, and ``placed`` has
+    (node, area, blocks, block).  In an area of one block that is block 0.  In a larger one it is
+    each block with a node that shares a key.  Keys whose nodes lie in the same blocks, as most do
+    among many copies of one text, are taken as one before anything is listed by node.
+    """
+    wide = shared.join(placed.where("blocks > 1").select("node", "block"), "node")
+    spread = cut(wide.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("others")))
+    kinds = spread.groupBy("others").agg(F.min("key").alias("kind"))
+    kind_of = spread.join(kinds, "others").select("key", "kind")
+    of_node = wide.join(kind_of, "key").select("node", "kind").distinct()
+    listed = of_node.join(kinds, "kind").select("node", F.explode("others").alias("other")).distinct()
+    alone = placed.where("blocks = 1").select("node", F.lit(0).alias("other"))
+    return alone.unionByName(listed)
+
+
 def _classify(docs: DataFrame, threshold: float, tolerance: float, id_col: str,
               text_col: str) -> tuple[DataFrame, DataFrame]:
     """(texts, digests): all rows' keys, and the class of every digest with words.
@@ -279,20 +299,20 @@ def _classify(docs: DataFrame, threshold: float, tolerance: float, id_col: str,
                      (slim["t2"] == shown["r2"]))
     keyed = reps.select("node", F.explode("bands").alias("key"))
     tied = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = keyed.join(tied.select("key", "hub"), "key").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    areas = cut(components(ties))
+    shared = cut(keyed.join(tied.select("key", "hub"), "key").select("node", "key", "hub"))
+    areas = cut(components(shared.select(F.col("node").alias("u"), F.col("hub").alias("v"))))
     sizes = areas.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    placed = (areas.join(sizes, "label")
-              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-              .select(F.col("id").alias("node"), F.col("label").alias("area"), "blocks",
-                      F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-              .join(shown, "node"))
-    signed = (src.join(placed, src["_id"].eqNullSafe(placed["rep"]) & (src["_t1"] == placed["r1"]) &
-                       (src["_t2"] == placed["r2"]))
-              .select("node", "area", "block", "blocks", "_text")
-              .mapInArrow(_sets, "node bigint, area bigint, block int, blocks int, sig binary, grams binary"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = (signed.select("*", other.alias("other"))
+    placed = cut(areas.join(sizes, "label")
+                 .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+                 .select(F.col("id").alias("node"), F.col("label").alias("area"), "blocks",
+                         F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    others = _visits(shared, placed).groupBy("node").agg(F.collect_list("other").alias("others"))
+    chosen = placed.select("node", "area", "block").join(others, "node").join(shown, "node")
+    signed = (src.join(chosen, src["_id"].eqNullSafe(chosen["rep"]) & (src["_t1"] == chosen["r1"]) &
+                       (src["_t2"] == chosen["r2"]))
+              .select("node", "area", "block", "others", "_text")
+              .mapInArrow(_sets, "node bigint, area bigint, block int, others array<int>, sig binary, grams binary"))
+    units = (signed.select("*", F.explode("others").alias("other"))
              .select("area", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                      "node", "block", "sig", "grams"))
     dealt = units.repartition("area", "lo", "hi").sortWithinPartitions("area", "lo", "hi")
