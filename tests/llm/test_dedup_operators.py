@@ -197,6 +197,24 @@ def test_components_of_paths_stars_and_loops(spark):
     assert none.count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(7)
+    n = 3000
+    edges = [tuple(e) for e in rng.integers(0, n, (1600, 2)).tolist()] + [(5000, 5001 + i) for i in range(2000)]
+    label = list(range(8000))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for a, b in edges:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert len(got) == len(met) and dict(map(tuple, got)) == {x: find(x) for x in met}
+
+
 BIG = 2 ** 60
 
 

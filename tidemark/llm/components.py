@@ -14,38 +14,40 @@ def components(edges: DataFrame) -> DataFrame:
     """Smallest member of every vertex's component.
 
     ``edges`` has bigint columns ``u`` and ``v``.  Returns (id, label) for every vertex that has
-    an edge to another vertex.  In each round every vertex points to the neighbour (or itself)
-    that comes first in a random order drawn anew for the round, and both ends of all edges
-    are replaced by what they point to.  A star is gone in a few rounds, and a path shrinks by a
-    constant factor a round, whatever its ids.  Vertices and edges stay distributed.
+    an edge to another vertex.  In each round every vertex points to the vertex at most two
+    edges away that comes first in a random order drawn anew for the round, and both ends of
+    all edges are replaced by what they point to.  A star is gone in one round, and a path
+    shrinks by a constant factor a round, whatever its ids.  Vertices and edges stay
+    distributed; the pointers of all rounds are followed once, at the end.
     """
     left = cut(edges.where(F.col("u") != F.col("v"))
                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    roots = None
+    pointers = []
     for r in range(MAX_ROUNDS):
         if left.isEmpty():
             break
 
-        def first(x: str):
-            return F.struct(F.xxhash64(x, F.lit(r)).alias("h"), F.col(x).alias("x"))
+        def place(x: str):
+            return F.xxhash64(x, F.lit(r))
 
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(F.xxhash64("v", F.lit(r))).alias("h"))
-        near = both.join(near, "u").where(F.xxhash64("v", F.lit(r)) == F.col("h")).groupBy("u").agg(
-            F.min("v").alias("near"))
-        to = cut(near.select(F.col("u").alias("id"), F.least(first("u"), first("near"))["x"].alias("to")))
+        near = both.groupBy("u").agg(F.min_by("v", place("v")).alias("x"))
+        near = near.select(F.col("u").alias("v"), F.when(place("x") < place("u"), F.col("x")).otherwise(F.col("u")).alias("x"))
+        to = cut(both.join(near, "v").groupBy("u").agg(F.min_by("x", place("x")).alias("to"))
+                 .withColumnRenamed("u", "id"))
         moved = (left.join(to.select(F.col("id").alias("u"), F.col("to").alias("tu")), "u")
                  .join(to.select(F.col("id").alias("v"), F.col("to").alias("tv")), "v"))
         left = cut(moved.where(F.col("tu") != F.col("tv"))
                    .select(F.greatest("tu", "tv").alias("u"), F.least("tu", "tv").alias("v")).distinct())
-        if roots is None:
-            roots = to.withColumnRenamed("to", "root")
-        else:
-            step = to.withColumnRenamed("id", "root")
-            roots = cut(roots.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        pointers.append(to)
     else:
         raise RuntimeError("components did not settle")
-    if roots is None:
+    if not pointers:
         return left.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    roots = pointers.pop().withColumnRenamed("to", "root")
+    while pointers:
+        roots = (pointers.pop().join(roots.withColumnRenamed("id", "to"), "to", "left")
+                 .select("id", F.coalesce("root", "to").alias("root")))
+    roots = cut(roots)
     labels = roots.groupBy("root").agg(F.min("id").alias("label"))
     return roots.join(labels, "root").select("id", "label")
