@@ -57,6 +57,24 @@ def test_window_counts_keep_and_report_late_rows(spark, root):
                    (B, None): (2, 7.0, 1)}
 
 
+def test_window_counts_read_the_table_once_a_start(spark, root, monkeypatch):
+    src = scratch_path(spark, "drops")
+    led = Ledger.open(spark, root)
+    create_window_table(led, "m.h", "event_type string")
+    h = dt.timedelta(hours=1)
+    files = [[(1, B, "a", 1.0)], [], [(2, B + 9 * h, "a", 2.0)], [(3, B + 2 * h, "a", 3.0)], [(4, B + 9 * h, "b", 4.0)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{src}/f{i}")
+    reads = []
+    plain = led.read
+    monkeypatch.setattr(led, "read", lambda *a, **c: reads.append(a) or plain(*a, **c))
+    window_counts(spark, src, spark.createDataFrame([], SCHEMA).schema, led, "m.h", scratch_path(spark, "ckpt"),
+                  "ts", ["event_type"], "value", max_files_per_trigger=1).awaitTermination()
+    assert len(reads) == 1
+    got = {(r.window_start, r.event_type): (r.n, r.n_late) for r in window_totals(plain("m.h"), ["event_type"]).collect()}
+    assert got == {(B, "a"): (1, 0), (B + 9 * h, "a"): (1, 0), (B + 2 * h, "a"): (1, 1), (B + 9 * h, "b"): (1, 0)}
+
+
 def test_window_totals_do_not_depend_on_the_files(spark, root):
     rows = [(i, B + dt.timedelta(minutes=i * 7), "ab"[i % 2], float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)

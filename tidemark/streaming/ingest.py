@@ -88,16 +88,20 @@ def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledg
     Each micro-batch adds its own partial rows, one per window and series; ``window_totals``
     folds them.  Counts add up and maxima combine, so the totals do not depend on how files
     fall into batches, no state is held between batches and no row is ever dropped.  Rows
-    more than ``delay`` behind the newest time of the batches before theirs are counted and
-    also reported as ``n_late``.
+    more than ``delay`` behind the newest time of the stream's batches before theirs are counted
+    and also reported as ``n_late``.  The table is read for that time when the stream starts;
+    after it, each batch reads its own commit only.
     """
     import pandas as pd
     width = pd.Timedelta(window).value // 1000
     slack = dt.timedelta(microseconds=pd.Timedelta(delay).value // 1000)
     tag = stream_tag(stream, checkpoint)
+    newest: dict[str, dt.datetime | None] = {}    # read whole once a start, then batch by batch
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        seen = led.read(table, ref=ref).agg(F.max("last_ts")).first()[0]
+        if "ts" not in newest:
+            newest["ts"] = led.read(table, ref=ref).agg(F.max("last_ts")).first()[0]
+        seen = newest["ts"]
         late = F.col(ts).cast("timestamp_ntz") < F.lit(seen - slack) if seen is not None else F.lit(False)
         start = F.timestamp_micros(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width)) * F.lit(width))
         part = (batch.groupBy(start.cast("timestamp_ntz").alias("window_start"), *series)
@@ -105,6 +109,8 @@ def window_counts(spark: SparkSession, src: str, schema: T.StructType, led: Ledg
                      F.sum(F.when(late, 1).otherwise(0)).cast("bigint").alias("n_late"),
                      F.max(F.col(ts).cast("timestamp_ntz")).alias("last_ts")))
         _commit_batch(led, table, tag, ref, compact_every)(part, batch_id)
+        own = led.changes(table, f"{tag}-{batch_id:08d}").agg(F.max("last_ts")).first()[0]
+        newest["ts"] = max((t for t in (seen, own) if t is not None), default=None)
 
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
          .option("recursiveFileLookup", "true").parquet(src))
